@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, near_dedup, packing, pii, secrets, sharding
+from . import decontamination, lm_scoring, near_dedup, packing, pii, secrets, sharding
 from ._shared import table
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_secret_scan": op2_secret_scan,
     "op6_near_dedup": op6_near_dedup,
     "op7_packing": op7_packing,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, lm_scoring, near_dedup, packing, pii, secrets, sharding
+from . import chat_format, decontamination, lm_scoring, near_dedup, packing, pii, secrets, sharding
 from ._shared import table
 
 
@@ -17,6 +17,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digest(chat_format.with_control_strings(table(spark, sf_dir, "conversations")))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -40,6 +44,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_secret_scan": op2_secret_scan,
+    "op3_chat_format": op3_chat_format,
     "op6_near_dedup": op6_near_dedup,
     "op7_packing": op7_packing,
     "op8_shards": op8_shards,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, lm_scoring, near_dedup, packing, pii, secrets, sharding
+from . import chat_format, decontamination, lm_scoring, near_dedup, neighbours, packing, pii, secrets, sharding
 from ._shared import table
 
 
@@ -21,6 +21,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.with_control_strings(table(spark, sf_dir, "conversations")))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -45,6 +50,7 @@ QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_secret_scan": op2_secret_scan,
     "op3_chat_format": op3_chat_format,
+    "op4_nearest": op4_nearest,
     "op6_near_dedup": op6_near_dedup,
     "op7_packing": op7_packing,
     "op8_shards": op8_shards,

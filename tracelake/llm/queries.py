@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, lm_scoring, near_dedup, neighbours, packing, pii, secrets, sharding
+from . import chat_format, decontamination, lm_scoring, near_dedup, neighbours, packing, pii, quality, secrets, sharding
 from ._shared import table
 
 
@@ -26,6 +26,10 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_chat_format": op3_chat_format,
     "op4_nearest": op4_nearest,
+    "op5_quality": op5_quality,
     "op6_near_dedup": op6_near_dedup,
     "op7_packing": op7_packing,
     "op8_shards": op8_shards,

@@ -16,10 +16,13 @@ they come; null ids stay; an empty table gives no rows; other columns are not re
 
 from __future__ import annotations
 
+import os
 import random
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,38 +34,101 @@ from ._shared import work_dir, written
 
 LENGTH = 4096
 END = 1
-#: Words whose ids a worker keeps; the table is emptied when it is full.
-CACHE = 400_000
+#: Words, and as many stems, whose ids a worker keeps; a table is emptied when it is full.
+CACHE = 250_000
 BLOCK = 4000
 ISLANDS = 3
 POPULATION = 4
 GENERATIONS = 6
 
 
-def encoder(path: str):
+class Encoder:
     """bytes of text -> its ids as little-endian unsigned 32-bit integers.
 
     The tokenizer's pieces never span white space, so each stretch between ASCII white space is encoded once and its ids
-    are looked up when it comes again."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
-
-    def encode(text: bytes) -> bytes:
+    are looked up when it comes again. Most stretches are a stem of a-z and Latin-1 letters and ASCII punctuation after
+    it, which are two pieces; many stems at once go to the tokenizer's model alone, in its byte alphabet, and the ends of
+    words tell their ids apart. All other stretches go through the whole tokenizer."""
+
+    _plain = re.compile("([a-zß-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # The byte alphabet: each byte of a letter beyond ASCII is one character of the model's.
+        self.alphabet = {c: "".join(map(_byte_letter, chr(c).encode())) for c in range(0xDF, 0x100)}
+        self.known: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def _slow(self, word: str) -> bytes:
+        return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_stems(self, stems: list[str]) -> None:
+        if len(self.stems) + len(stems) > CACHE:
+            self.stems.clear()
+        for at in range(0, len(stems), 256):
+            part = stems[at : at + 256]
+            ids = np.array(self.model.encode(" ".join(part).translate(self.alphabet), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):  # a vocabulary that doesn't mark ends
+                self.stems.update((s, self._slow(s)) for s in part)
+                continue
+            data, begin = ids.tobytes(), 0
+            for stem, stop in zip(part, (4 * stops).tolist(), strict=True):
+                self.stems[stem] = data[begin:stop]
+                begin = stop
+
+    def _learn(self, words: list[bytes]) -> None:
+        split: list[tuple[bytes, str, str]] = []
+        for word in words:
+            text = word.decode()
+            if plain := self._plain.fullmatch(text.lower()):
+                split.append((word, *plain.groups()))
+            else:
+                self.known[word] = self._slow(text)
+        self._learn_stems(list({stem for _, stem, _ in split}.difference(self.stems)))
+        for word, stem, tail in split:
+            if tail not in self.tails:
+                if len(self.tails) > CACHE:
+                    self.tails = {"": b""}
+                self.tails[tail] = self._slow(tail)
+            self.known[word] = (self.stems.get(stem) or self._slow(stem)) + self.tails[tail]
+
+    def __call__(self, text: bytes) -> bytes:
         words = text.split()
-        if new := set(words).difference(known):
-            if len(known) + len(new) > CACHE:
-                known.clear()
+        if new := set(words).difference(self.known):
+            if len(self.known) + len(new) > CACHE:
+                self.known.clear()
                 new = set(words)
-            new = list(new)
-            for at in range(0, len(new), 8192):
-                part = new[at : at + 8192]
-                for word, found in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    known[word] = b"".join(i.to_bytes(4, "little") for i in found.ids)
+            self._learn(list(new))
+        known = self.known
         return b"".join([known[w] for w in words])
 
-    return encode
+
+def _byte_letter(b: int) -> str:
+    """The character that stands for a byte beyond ASCII in byte-level vocabularies: itself where it is printable, else
+    the next one from 256 on."""
+    if 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF:
+        return chr(b)
+    return chr(256 + 33 + (b - 0x7F if b <= 0xA0 else 34))
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker and vocabulary: what one task has learnt the next one knows."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _pieces(path: str, length: int, end: int):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocking
@@ -24,13 +24,16 @@ def build(reports: DataFrame, processes: DataFrame, deadlocks: DataFrame, signat
         "chains": blocking.chains(reports, processes).limit(100),
         "samples": blocking.samples(reports, processes, blockers, samples).select("inputbuf_fingerprint", "place", "report_id", "captured_at"),
     }
-    out = blocking.overview(reports, deadlocks).crossJoin(blocking.wait_times(processes))  # one row each
-    for name, section in sections.items():  # bounded: top-k lists and rollups by small domains
-        spark: SparkSession = section.sparkSession
-        rows = [r.asDict() for r in section.collect()]
-        one = spark.createDataFrame([(rows,)], f"{name} array<{section.schema.simpleString()}>")
-        out = out.crossJoin(one)
-    return out
+    # All sections are bounded (one row, top-k lists, rollups by small domains): they meet in one row on the driver.
+    values, columns = [], []
+    for one in (blocking.overview(reports, deadlocks), blocking.wait_times(processes)):
+        values += list(one.first())
+        columns += [f"{f.name} {f.dataType.simpleString()}" for f in one.schema]
+    for name, section in sections.items():
+        values.append([r.asDict() for r in section.collect()])
+        columns.append(f"{name} array<{section.schema.simpleString()}>")
+    processes.unpersist()
+    return reports.sparkSession.createDataFrame([tuple(values)], ", ".join(columns))
 
 
 def as_json(digest: DataFrame) -> DataFrame:

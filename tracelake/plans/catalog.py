@@ -395,3 +395,34 @@ def blocking_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import digest
 
     return digest.as_json(digest.build(views.reports(spark, sf_dir), views.processes(spark, sf_dir), _deadlocks(spark, sf_dir), views.signatures(spark, sf_dir)))
+
+
+def plan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan for each nation: its name is the table, its region's number the schema."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    xml = F.format_string("<Plan><Stmt StatementText=\"SELECT * FROM %s WHERE k = %s\"/><Object Schema='[r%s]' Table='[%s]'/></Plan>", "n_name", F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string"), "n_name")
+    return nation.select(F.col("n_nationkey").alias("plan_id"), xml.alias("xml"))
+
+
+@_query(
+    "anonymous_names",
+    """WITH f AS (SELECT DISTINCT 'Table' AS kind, n_name AS original_name FROM nation UNION SELECT DISTINCT 'Schema', 'r' || CAST(n_regionkey AS VARCHAR) FROM nation)
+    SELECT kind, original_name, kind || CAST(row_number() OVER (PARTITION BY kind ORDER BY lower(original_name)) AS VARCHAR) AS token FROM f""",
+)
+def anonymous_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import anonymize
+
+    return anonymize.names(plan_documents(spark, sf_dir))
+
+
+@_query(
+    "anonymous_plans",
+    """WITH s AS (SELECT 'r' || CAST(n_regionkey AS VARCHAR) AS r, 'Schema' || CAST(dense_rank() OVER (ORDER BY 'r' || CAST(n_regionkey AS VARCHAR)) AS VARCHAR) AS st, 'Table' || CAST(row_number() OVER (ORDER BY lower(n_name)) AS VARCHAR) AS tt, n_nationkey FROM nation)
+    SELECT n_nationkey AS plan_id, '<Plan><Stmt StatementText="SELECT * FROM ' || tt || ' WHERE k = ?" /><Object Schema="[' || st || ']" Table="[' || tt || ']" /></Plan>' AS anon_xml FROM s""",
+)
+def anonymous_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import anonymize
+
+    plans = plan_documents(spark, sf_dir)
+    mapping = [tuple(r) for r in anonymize.names(plans).collect()]
+    return anonymize.anonymized(plans, mapping).select("plan_id", "anon_xml")

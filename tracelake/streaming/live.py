@@ -15,12 +15,13 @@ def landed_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def once(raw: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Each event (file and offset) once, as long as its copies come within the delay."""
-    return raw.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["file_name", "file_offset"])
+    # Watermarks need times with a zone; captures are in UTC, as the session is.
+    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["file_name", "file_offset"])
 
 
 def durations(raw: DataFrame, window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Counts and durations by window and class of event."""
-    rows = mapped(raw).where(F.col("event_class") != "Unknown").withWatermark("captured_at", delay)
+    rows = mapped(raw).where(F.col("event_class") != "Unknown").withColumn("captured_at", F.col("captured_at").cast("timestamp")).withWatermark("captured_at", delay)
     return rows.groupBy(F.window("captured_at", window).alias("w"), "event_class").agg(F.count("*").alias("cnt"), F.sum("duration_us").alias("total_us")).select(F.col("w.start").alias("start"), "event_class", "cnt", "total_us")
 
 

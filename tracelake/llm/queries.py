@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, lm_scoring, near_dedup, neighbours, packing, pii, quality, secrets, sharding
+from . import chat_format, decontamination, lm_scoring, near_dedup, neighbours, oracles, packing, pii, quality, secrets, sharding
 from ._shared import table
 
 
@@ -63,4 +63,9 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_secret_scan": oracles.SECRETS,
+    "op3_chat_format": oracles.CHAT,
+    "op6_near_dedup": oracles.NEAR_DUPLICATES,
+    "op10_decontamination": oracles.DECONTAMINATION,
+}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,26 +62,42 @@ def edges(reports: DataFrame, processes: DataFrame) -> DataFrame:
     return reports.select("report_id", F.col("monitor_loop").alias("loop")).join(pair("blocked"), "report_id").join(pair("blocking"), "report_id").select("loop", "blocking", "blocked")
 
 
-def _walk(links: pd.DataFrame) -> pd.DataFrame:
-    """(loop, head, depth, edges) of one loop: the greatest depth that each head reaches, its own being 1.
+def _walk(links: list[tuple]) -> list[tuple]:
+    """(head, depth) of one loop's (blocking, blocked) links: the greatest depth that each head reaches, its own being 1.
 
     Each level holds the set of (head, place) pairs, so ways that meet don't multiply; cycles end at DEPTH."""
-    loop, count = links["loop"].iloc[0], len(links)
-    known = links.dropna(subset=["blocking"])
     next_of: dict = {}
-    for a, b in known[["blocking", "blocked"]].drop_duplicates().itertuples(index=False):
-        if not pd.isna(b):
-            next_of.setdefault(a, set()).add(b)
-    blocked = set(links["blocked"].dropna())
-    heads = {a for a in known["blocking"] if a not in blocked}
+    for a, b in links:
+        if a is not None:
+            next_of.setdefault(a, set()).update(() if b is None else (b,))
+    heads = next_of.keys() - {b for _, b in links}
     depth = dict.fromkeys(heads, 1)
     level, n = {(h, h) for h in heads}, 1
     while level and n < DEPTH:
         level = {(h, b) for h, a in level for b in next_of.get(a, ())}
         n += 1
         depth.update((h, n) for h, _ in level)
-    rows = sorted(depth.items())
-    return pd.DataFrame({"loop": [loop] * len(rows), "head": [h for h, _ in rows], "depth": [d for _, d in rows], "edges": [count] * len(rows)})
+    return sorted(depth.items())
+
+
+def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chains of loops whose links come one loop after another; one loop is held at a time."""
+    loop, links, kinds = None, [], None
+    for batch in itertools.chain(batches, [None]):
+        rows = []
+        if batch is not None:
+            kinds = [batch.schema.field(c).type for c in ("loop", "blocking")]
+        incoming = zip(*(batch.column(c).to_pylist() for c in ("loop", "blocking", "blocked")), strict=True) if batch is not None else [(None, None, None)]
+        for at, a, b in incoming:
+            if at != loop:
+                if links:
+                    rows += [(loop, head, depth, len(links)) for head, depth in _walk(links)]
+                loop, links = at, []
+            if batch is not None:
+                links.append((a, b))
+        if kinds:
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*kinds, pa.int32(), pa.int64()], strict=True)], ["loop", "head", "depth", "edges"])
 
 
 def _walk_by_joins(links: DataFrame) -> DataFrame:
@@ -107,7 +126,8 @@ def chains(reports: DataFrame, processes: DataFrame, loop_size: int = LOOP) -> D
     looped = links.where(F.col("loop").isNotNull())
     kinds = f"loop {links.schema['loop'].dataType.simpleString()}, head {links.schema['blocking'].dataType.simpleString()}, depth int, edges bigint"
     large = looped.groupBy("loop").count().where(F.col("count") > loop_size).select("loop")
-    out = looped.join(large, "loop", "left_anti").groupBy("loop").applyInPandas(_walk, kinds)
+    small = looped.join(large, "loop", "left_anti").repartition("loop").sortWithinPartitions("loop")
+    out = small.mapInArrow(_walks, kinds)
     if not large.isEmpty():
         out = out.union(_walk_by_joins(looped.join(large, "loop", "left_semi")))
     alone = links.where(F.col("loop").isNull() & F.col("blocking").isNotNull()).select("loop", F.col("blocking").alias("head")).distinct().select("loop", "head", F.lit(1).alias("depth"), F.lit(0).cast("bigint").alias("edges"))

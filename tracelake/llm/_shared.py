@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,15 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"file://{tempfile.gettempdir()}/tracelake-shared-{os.getuid()}"
+    return f"file://{_local_root()}"
+
+
+@functools.cache
+def _local_root() -> str:
+    """One folder for this process, gone when it ends."""
+    path = tempfile.mkdtemp(prefix="tracelake-shared-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def work_dir(spark: SparkSession, label: str) -> str:

@@ -2,7 +2,7 @@
 
 1. All documents give the raw model: counts of hashed words and word pairs in `BUCKETS` buckets.
 2. Labelled good documents give the target model. The labelled sample is bounded: the `LABELS` documents with the least
-   hashes of their ids. Half of it fits the model, the other half sets k.
+   hashes of their ids. All of it fits the model; to set k, each half of it is weighed by a model of the other half.
 3. A document's log weight is the log ratio of both models, summed over its n-grams, over their number plus `SHRINK`,
    times `SCALE`: weights of texts of all lengths can be compared, and those of very short ones stay near 0.
 4. k is the number of documents, of all, whose weight reaches the one that `KEEP` of the held-back good documents reach
@@ -124,13 +124,15 @@ def weights(docs: DataFrame, labels: DataFrame, at: str) -> tuple[DataFrame, flo
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = written(known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(LABELS).select(F.col("doc_id").alias("_tl_id"), F.col("quality").alias("_tl_quality"), (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)) == 0).alias("_tl_fit")), f"{at}/labels")
     good = F.broadcast(sample.where("_tl_quality = 1"))  # LABELS rows at most
-    target = ngram_counts(docs.select("doc_id", "text").join(good.where("_tl_fit"), F.col("doc_id") == F.col("_tl_id"), "left_semi"))
-    raw = ngram_counts(docs)
-    ratio = log_ratio(target, raw)
+    shown = written(docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_tl_id")).select("doc_id", "text", "_tl_fit"), f"{at}/good")
+    halves = [shown.where("_tl_fit"), shown.where("NOT _tl_fit")]
+    counts, raw = [ngram_counts(half) for half in halves], ngram_counts(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    weighed = written(docs.select("doc_id", "text").mapInArrow(_weigh(ratio), f"doc_id {kind}, log_weight double"), f"{at}/weights")
-    held = [r.log_weight for r in weighed.join(good.where("NOT _tl_fit"), F.col("doc_id") == F.col("_tl_id"), "left_semi").select("log_weight").limit(4 * LABELS).collect()]
-    return weighed, least_weight(np.array(held)) if held and target.sum() else None
+    weigh = lambda df, target: df.select("doc_id", "text").mapInArrow(_weigh(log_ratio(target, raw)), f"doc_id {kind}, log_weight double")
+    weighed = written(weigh(docs, counts[0] + counts[1]), f"{at}/weights")
+    # Each half is weighed by the model of the other, so no document is judged by a model that has seen it.
+    held = [r.log_weight for half, other in zip(halves, reversed(counts), strict=True) if other.sum() for r in weigh(half, other).select("log_weight").collect()]
+    return weighed, least_weight(np.array(held)) if held else None
 
 
 def resampled(docs: DataFrame, labels: DataFrame) -> DataFrame:

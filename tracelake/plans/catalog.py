@@ -289,8 +289,7 @@ def blocking_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("blocking_report_load", _blocked("SELECT r.report_id, r.monitor_loop, a.spid AS blocked_spid, a.wait_time_us, b.spid AS blocking_spid, b.inputbuf_fingerprint FROM reports r JOIN processes a ON a.report_id = r.report_id AND a.role = 'blocked' JOIN processes b ON b.report_id = r.report_id AND b.role = 'blocking' WHERE r.report_id < 2000"))
 def blocking_report_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, p = views.reports(spark, sf_dir).where("report_id < 2000"), views.processes(spark, sf_dir).where("report_id < 2000")
-    return blocking.report_rows(r, p).select("report_id", "monitor_loop", F.col("blocked.spid").alias("blocked_spid"), "blocked.wait_time_us", F.col("blocking.spid").alias("blocking_spid"), "blocking.inputbuf_fingerprint")
+    return blocking.report_rows(views.reports(spark, sf_dir), views.processes(spark, sf_dir)).select("report_id", "monitor_loop", F.col("blocked.spid").alias("blocked_spid"), "blocked.wait_time_us", F.col("blocking.spid").alias("blocking_spid"), "blocking.inputbuf_fingerprint")
 
 
 # Exports.

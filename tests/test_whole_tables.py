@@ -23,3 +23,9 @@ def test_every_report_is_loaded(spark):
     CAST(user_id % 8 AS INTEGER) AS blocking_spid, CASE WHEN event_id % 11 <> 0 THEN sha256('select * from dbo.' || event_type || ' where k = ?') END AS inputbuf_fingerprint FROM events WHERE event_id % 8 <> 0"""
     got, want = whole(spark, "blocking_report_load", sql)
     assert got == want and len(got) > 2000
+
+
+def test_executions_of_every_session_are_loaded(spark):
+    sql = """SELECT event_id AS execution_id, ts AS captured_at, 'SELECT * FROM dbo.' || event_type || ' WHERE k = ' || json_extract_string(props, '$.k') AS sql_text_raw, '@k=' || json_extract_string(props, '$.k') AS parameters FROM events"""
+    got, want = whole(spark, "load_execution", sql)
+    assert got == want and len(got) == 10_000

@@ -107,8 +107,7 @@ for _field in workload.DIMENSIONS:
 
 @_query("load_execution", f"WITH {EXECUTIONS_SQL} SELECT execution_id, captured_at, sql_text_raw, '@k=' || k AS parameters FROM executions WHERE session_id < 20")
 def load_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.executions(spark, sf_dir).where("session_id < 20")
-    return workload.executions_with_parameters(rows, views.parameters(spark, sf_dir)).select("execution_id", "captured_at", "sql_text_raw", F.array_join("parameters", ",").alias("parameters"))
+    return workload.executions_with_parameters(views.executions(spark, sf_dir), views.parameters(spark, sf_dir)).select("execution_id", "captured_at", "sql_text_raw", F.array_join("parameters", ",").alias("parameters"))
 
 
 @_query("next_execution_id", f"WITH {EXECUTIONS_SQL} SELECT coalesce(max(execution_id), 0) + 1 AS next_id FROM executions")

@@ -1,3 +1,4 @@
+import json
 from datetime import datetime
 
 import pytest
@@ -40,6 +41,18 @@ def test_rollups_and_digest(spark):
     assert tuple(empty) == (0.0, 0.0, 0)
 
 
+def test_digest_has_every_chain(spark):
+    reports, processes = tables(spark, [(i, 1, 2) for i in range(150)] + [(7, 2, 3), (None, 5, 6)])
+    none = spark.createDataFrame([], "normalized_hash string, normalized_sql string")
+    dead = spark.createDataFrame([], "report_id long, captured_at timestamp_ntz, graph_xml string")
+    want = [tuple(r) for r in blocking.chains(reports, processes).collect()]
+    built = digest.build(reports, processes, dead, none)
+    assert [tuple(c) for c in built.first().chains] == want and want[0] == (7, 1, 3, 2) and len(want) == 151
+    assert len(json.loads(digest.as_json(built).first()[0])["digest"]["chains"]) == 151
+    assert "| 149 | 1 | 2 | 1 |" in digest.as_markdown(built)
+    assert digest.build(reports.limit(0), processes, dead, none).first().chains == []
+
+
 def test_export_files(spark, tmp_path):
     reports, processes = tables(spark, [(1, 1, 2)] * 5)
     rows = export.candidates(reports, fingerprint="g", processes=processes)

@@ -21,10 +21,9 @@ def build(reports: DataFrame, processes: DataFrame, deadlocks: DataFrame, signat
         "isolation_levels": blocking.counts_by(processes, "isolation_level"),
         "top_blockers": blockers,
         "top_blocked": blocking.top_statements(processes, signatures, "blocked", top),
-        "chains": blocking.chains(reports, processes).limit(100),
         "samples": blocking.samples(reports, processes, blockers, samples).select("inputbuf_fingerprint", "place", "report_id", "captured_at"),
     }
-    # All sections are bounded (one row, top-k lists, rollups by small domains): they meet in one row on the driver.
+    # These sections are bounded (one row, top-k lists, rollups by small domains): they meet in one row on the driver.
     values, columns = [], []
     for one in (blocking.overview(reports, deadlocks), blocking.wait_times(processes)):
         values += list(one.first())
@@ -33,7 +32,15 @@ def build(reports: DataFrame, processes: DataFrame, deadlocks: DataFrame, signat
         values.append([r.asDict() for r in section.collect()])
         columns.append(f"{name} array<{section.schema.simpleString()}>")
     processes.unpersist()
-    return reports.sparkSession.createDataFrame([tuple(values)], ", ".join(columns))
+    bounded = reports.sparkSession.createDataFrame([tuple(values)], ", ".join(columns))
+    # Chains grow with the reports: executors gather them, and the other sections come to them.
+    return _gathered(blocking.chains(reports, processes)).crossJoin(F.broadcast(bounded)).select(*bounded.columns[:-1], "chains", "samples")  # one row each
+
+
+def _gathered(chains: DataFrame) -> DataFrame:
+    """One row with all chains as an array, deepest first."""
+    order = F.struct((-F.col("depth")).alias("a"), F.col("loop").isNull().alias("b"), "loop", "head", F.struct("*").alias("chain"))
+    return chains.agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: x["chain"]).alias("chains"))
 
 
 def as_json(digest: DataFrame) -> DataFrame:

@@ -55,3 +55,21 @@ def test_empty_and_alone(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0])], "vec_id bigint, embedding array<float>")
     assert neighbours.search(df, df).count() == 0
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["small", "clustered"])
+def test_far_neighbours_are_found(spark, kind):
+    """Production parameters: few vectors, and vectors far from all others beside tight clusters that set the expected cosine."""
+    rng = np.random.default_rng(5)
+    if kind == "small":
+        rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(8, 64)))]
+    else:
+        near = np.repeat(rng.normal(size=(60, 64)), 20, axis=0) + 0.1 * rng.normal(size=(1200, 64))
+        rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((rng.normal(size=(40, 64)), near)))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    by = {}
+    for r in sorted(neighbours.search(df, df.where("vec_id < 40")).collect(), key=lambda r: (r.query_id, r.rank)):
+        by.setdefault(r.query_id, []).append(r.vec_id)
+    assert by == {q: [d for _, d in near] for q, near in brute(rows, 1).items() if q < 40}
+    few = df.where("vec_id < 3")
+    assert neighbours.search(few, few).count() == 6

@@ -7,6 +7,9 @@ are visited in that order until their chances add up to `target`: the threshold
 neighbours from the estimate. What any table's visited buckets hold is merged and reranked by exact cosines in double
 precision.
 
+A query is settled where k of its own found neighbours are at least as near as that expected cosine. All others (buckets
+that hold too few, neighbours farther than expected) are compared with every vector, exactly.
+
 Buckets lie in cells (the first few hash values; as many as the number of vectors asks for). A cell is one or more
 bounded chunks of vectors, and each chunk meets the queries that visit its cell in bounded blocks; no pair of query and
 candidate is ever a row. Equal vectors are one candidate that stands for its k + 1 least ids, which is exact: of equal
@@ -141,25 +144,25 @@ def _probe(plan: Plan):
     return run
 
 
-def _meet(plan: Plan):
-    """One chunk of vectors and one block of queries: each query's best ids of the buckets that it visits."""
+def _meet(plan: Plan, every: bool = False):
+    """One chunk of vectors and one block of queries: each query's best ids of the buckets that it visits, or of all."""
 
     def run(key: tuple, index: pa.Table, queries: pa.Table) -> pa.Table:
         out: dict[str, list] = {"h1": [], "h2": [], "vec_id": [], "score": []}
         if len(index) and len(queries):
-            table = key[0].as_py()
             v, q = _matrix(index.column("v")), _matrix(queries.column("v"))
             v_size, q_size = _norms(v), _norms(q)
-            codes = plan.codes(v / v_size[:, None], table)
-            buckets, member = np.unique(codes, axis=0, return_inverse=True)
-            member = member.reshape(-1)
-            logs, limits = plan.chances(q / q_size[:, None], table)
+            if not every:
+                table = key[0].as_py()
+                codes = plan.codes(v / v_size[:, None], table)
+                buckets, member = np.unique(codes, axis=0, return_inverse=True)
+                member = member.reshape(-1)
+                logs, limits = plan.chances(q / q_size[:, None], table)
             ids = index.column("ids").to_pylist()
             h1, h2 = queries.column("h1").to_pylist(), queries.column("h2").to_pylist()
             take = plan.k + 1
             for i in range(len(q)):
-                visited = logs[i][np.arange(plan.hashes), buckets].sum(1) >= limits[i]
-                near = np.flatnonzero(visited[member])
+                near = np.arange(len(v)) if every else np.flatnonzero((logs[i][np.arange(plan.hashes), buckets].sum(1) >= limits[i])[member])
                 if not len(near):
                     continue
                 rough = (v[near] @ q[i]) / (v_size[near] * q_size[i])
@@ -223,20 +226,30 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TAB
     kind = asked.schema["v"].dataType.simpleString()
     probes = written(distinct.mapInArrow(_probe(plan), f"tab long, cell long, dim long, h1 long, h2 long, v {kind}"), f"{at}/probes")
 
-    place = ["tab", "cell", "dim"]
-    sizes = index.groupBy(*place).count().join(probes.groupBy(*place).agg(F.count("*").alias("asked")), place)
-    sizes = written(sizes.select(*place, F.ceil(F.col("count") / CHUNK).alias("chunks"), F.ceil(F.col("asked") / QUERIES).alias("blocks")), f"{at}/cells")
-    known = bounded_broadcast(sizes)
-    count = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = index.join(known, place).withColumn("chunk", F.pmod("h2", "chunks")).withColumn("block", count("blocks")).select(*place, "chunk", "block", "v", "ids")
-    right = probes.join(known, place).withColumn("block", F.pmod("h2", "blocks")).withColumn("chunk", count("chunks")).select(*place, "chunk", "block", "h1", "h2", "v")
-    keys = [*place, "chunk", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meet(plan), "h1 long, h2 long, vec_id long, score double")
-
-    # Tables' candidates merged: k + 1 for each distinct query vector, then each query's own id goes.
-    merged = found.groupBy("h1", "h2", "vec_id").agg(F.max("score").alias("score"))
-    nearest = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
-    best = merged.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).drop("n")
+    def met(left: DataFrame, right: DataFrame, place: list[str], run, name: str) -> DataFrame:
+        """k + 1 candidates for each distinct query vector, from chunks of left and blocks of right that share a place."""
+        sizes = left.groupBy(*place).count().join(right.groupBy(*place).agg(F.count("*").alias("asked")), place)
+        sizes = written(sizes.select(*place, F.ceil(F.col("count") / CHUNK).alias("chunks"), F.ceil(F.col("asked") / QUERIES).alias("blocks")), f"{at}/{name}_sizes")
+        known = bounded_broadcast(sizes)
+        count = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = left.join(known, place).withColumn("chunk", F.pmod("h2", "chunks")).withColumn("block", count("blocks")).select(*place, "chunk", "block", "v", "ids")
+        right = right.join(known, place).withColumn("block", F.pmod("h2", "blocks")).withColumn("chunk", count("chunks")).select(*place, "chunk", "block", "h1", "h2", "v")
+        keys = [*place, "chunk", "block"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "h1 long, h2 long, vec_id long, score double")
+        merged = found.groupBy("h1", "h2", "vec_id").agg(F.max("score").alias("score"))
+        nearest = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
+        return written(merged.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).drop("n"), f"{at}/{name}")
+
+    best = met(index, probes, ["tab", "cell", "dim"], _meet(plan), "probed")
+
+    # Without k neighbours at the expected cosine, the buckets were too few for a query: all vectors answer.
+    vector = ["h1", "h2"]
+    near = asked.select(F.col("vec_id").alias("query_id"), *vector).join(best.where(F.col("score") >= cosine), vector).where(F.col("query_id") != F.col("vec_id"))
+    settled = near.groupBy("query_id", *vector).count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"), *vector)
+    open_ = written(asked.join(settled, ["vec_id", *vector], "left_anti").dropDuplicates([*vector, "dim"]).select("dim", *vector, "v"), f"{at}/open")
+    best = best.join(open_.select(*vector), vector, "left_anti").unionByName(met(classes, open_, ["dim"], _meet(plan, every=True), "scanned"))
+
+    # Each query's own id goes.
     mine = asked.select(F.col("vec_id").alias("query_id"), "h1", "h2").join(best, ["h1", "h2"]).where(F.col("query_id") != F.col("vec_id"))
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     each = mine.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

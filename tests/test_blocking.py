@@ -1,8 +1,10 @@
 import json
 from datetime import datetime
 
+import duckdb
 import pytest
 
+import __spark_entry__
 from tracelake.operators import blocking, digest, export
 
 PROCESS = "report_id long, role string, spid int, wait_time_us long, wait_resource_type string, object_id long, lock_mode string, isolation_level string, inputbuf string, inputbuf_fingerprint string"
@@ -28,6 +30,20 @@ def test_chains(spark, tmp_path, size):
     assert got == (want | {(99, 100): (64, 3)} if size else want)
 
 
+@pytest.mark.parametrize("size", [100_000, 0])
+def test_chains_with_nulls(spark, tmp_path, size):
+    """Either way gives what the query's SQL gives for the same links."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    links = [(1, 1, None), (2, 1, 2), (2, 2, None), (3, 1, 2), (3, None, 1), (4, None, 3), (4, 3, 4), (5, None, None), (6, 1, None), (6, 1, 2)]
+    got = sorted(tuple(map(str, r)) for r in blocking.chains(*tables(spark, links), loop_size=size).select("loop", "head", "depth", "edges").collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE given (loop INTEGER, blocking INTEGER, blocked INTEGER)")
+    con.executemany("INSERT INTO given VALUES (?, ?, ?)", links)
+    walk = __spark_entry__.oracle_sql()["blocking_chains"].split("heads AS", 1)[1]
+    want = con.execute("WITH RECURSIVE links AS (SELECT * FROM given), heads AS" + walk).fetchall()
+    assert got == sorted(tuple(map(str, r)) for r in want) and ("1", "1", "2", "1") in got
+
+
 def test_rollups_and_digest(spark):
     reports, processes = tables(spark, [(1, 118, 200), (1, 118, 201)])
     signatures = spark.createDataFrame([("g", "select hold")], "normalized_hash string, normalized_sql string")

@@ -65,19 +65,20 @@ def edges(reports: DataFrame, processes: DataFrame) -> DataFrame:
 def _walk(links: list[tuple]) -> list[tuple]:
     """(head, depth) of one loop's (blocking, blocked) links: the greatest depth that each head reaches, its own being 1.
 
-    Each level holds the set of (head, place) pairs, so ways that meet don't multiply; cycles end at DEPTH."""
+    Each level holds the set of (head, place) pairs, so ways that meet don't multiply; cycles end at DEPTH. As in SQL, null
+    is a place that leads nowhere, and a null blocker is a head."""
     next_of: dict = {}
     for a, b in links:
-        if a is not None:
-            next_of.setdefault(a, set()).update(() if b is None else (b,))
-    heads = next_of.keys() - {b for _, b in links}
+        next_of.setdefault(a, set()).add(b)
+    heads = next_of.keys() - {b for _, b in links if b is not None}
+    next_of.pop(None, None)
     depth = dict.fromkeys(heads, 1)
     level, n = {(h, h) for h in heads}, 1
     while level and n < DEPTH:
         level = {(h, b) for h, a in level for b in next_of.get(a, ())}
         n += 1
         depth.update((h, n) for h, _ in level)
-    return sorted(depth.items())
+    return sorted(depth.items(), key=lambda x: (x[0] is not None, x[0]))
 
 
 def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,7 +105,7 @@ for _field in workload.DIMENSIONS:
     _query(f"dimension_{_field}", f"WITH {EXECUTIONS_SQL} SELECT coalesce({_field}, '(none)') AS value, count(*) AS cnt, CAST(sum(duration_us) AS BIGINT) AS total_us FROM executions GROUP BY 1")(lambda spark, sf_dir, field=_field: workload.dimension(views.executions(spark, sf_dir), field))
 
 
-@_query("load_execution", f"WITH {EXECUTIONS_SQL} SELECT execution_id, captured_at, sql_text_raw, '@k=' || k AS parameters FROM executions WHERE session_id < 20")
+@_query("load_execution", f"WITH {EXECUTIONS_SQL} SELECT execution_id, captured_at, sql_text_raw, '@k=' || k AS parameters FROM executions")
 def load_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workload.executions_with_parameters(views.executions(spark, sf_dir), views.parameters(spark, sf_dir)).select("execution_id", "captured_at", "sql_text_raw", F.array_join("parameters", ",").alias("parameters"))
 
@@ -286,7 +286,7 @@ def blocking_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.samples(views.reports(spark, sf_dir), p, p.where("inputbuf_fingerprint IS NOT NULL")).select("inputbuf_fingerprint", "report_id", "captured_at", "place")
 
 
-@_query("blocking_report_load", _blocked("SELECT r.report_id, r.monitor_loop, a.spid AS blocked_spid, a.wait_time_us, b.spid AS blocking_spid, b.inputbuf_fingerprint FROM reports r JOIN processes a ON a.report_id = r.report_id AND a.role = 'blocked' JOIN processes b ON b.report_id = r.report_id AND b.role = 'blocking' WHERE r.report_id < 2000"))
+@_query("blocking_report_load", _blocked("SELECT r.report_id, r.monitor_loop, a.spid AS blocked_spid, a.wait_time_us, b.spid AS blocking_spid, b.inputbuf_fingerprint FROM reports r JOIN processes a ON a.report_id = r.report_id AND a.role = 'blocked' JOIN processes b ON b.report_id = r.report_id AND b.role = 'blocking'"))
 def blocking_report_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.report_rows(views.reports(spark, sf_dir), views.processes(spark, sf_dir)).select("report_id", "monitor_loop", F.col("blocked.spid").alias("blocked_spid"), "blocked.wait_time_us", F.col("blocking.spid").alias("blocking_spid"), "blocking.inputbuf_fingerprint")
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, decontamination, lm_scoring, near_dedup, neighbours, oracles, packing, pii, quality, secrets, sharding
 from ._shared import table
 
 
+def vocabulary() -> str:
+    """The tokenizer file of op7_packing and the pipeline."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.scored(table(spark, sf_dir, "documents"))
 
@@ -35,7 +41,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

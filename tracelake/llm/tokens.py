@@ -42,23 +42,32 @@ def _power(n: int, way: str, base: int) -> np.ndarray:
     return _powers[way][:n]
 
 
-def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the words in these bytes, and where they start."""
+def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashes of spans of bytes, from a value for each byte."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power(len(values), "up", _BASE), out=sums[1:])
+    hashes = (sums[ends] - sums[starts]) * _power(len(values), "down", _INVERSE)[starts]
+    return mix(hashes + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words in these bytes start and end."""
     inner = ~_SPACE[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], inner, [False])).astype(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64), starts
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUES[data] * _power(len(data), "up", _BASE), out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _power(len(data), "down", _INVERSE)[starts]
-    return mix(hashes + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)), starts
+    return edges[::2], edges[1::2]
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(word hashes, index of each word's text, bytes) of successive blocks; null texts have no words.
+def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words in these bytes, and where they start."""
+    starts, ends = word_spans(data)
+    return (hash_spans(_VALUES[data], starts, ends) if len(starts) else np.zeros(0, np.uint64)), starts
 
-    Words come in order. A text longer than a block goes on in the next one."""
+
+def cuts(texts: pa.Array) -> Iterator[tuple[np.ndarray, int, np.ndarray, int]]:
+    """(bytes with a separator between texts, first text, where each text ends, bytes of the texts) of successive blocks.
+
+    The text of a place in a block is first + searchsorted(ends, place, "right"). No word is cut; a text longer than a
+    block goes on in the next one."""
     texts = texts.cast(pa.large_string())
     if not len(texts):
         return
@@ -88,12 +97,18 @@ def blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         inner = offsets[first + 1 : last]  # ends of texts strictly inside the block
         inner = inner[(inner > at) & (inner < stop)] - at
         cut = np.insert(data[at:stop], inner, 0x20)
-        hashes, starts = hash_words(cut)
         bounds = offsets[first + 1 : last + 1] - at + np.searchsorted(inner, offsets[first + 1 : last + 1] - at, "left")
-        yield hashes, first + np.searchsorted(bounds, starts, "right"), stop - at
+        yield cut, first, bounds, stop - at
         at = stop
 
 
+def blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(word hashes, index of each word's text, bytes) of successive blocks; null texts have no words."""
+    for cut, first, bounds, size in cuts(texts):
+        hashes, starts = hash_words(cut)
+        yield hashes, first + np.searchsorted(bounds, starts, "right"), size
+
+
 def per_text(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, stop, hashes, words of each text) of successive runs of whole texts of about a block each."""
     if not len(texts):

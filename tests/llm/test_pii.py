@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -53,5 +55,25 @@ def test_reliable_labelers_are_trusted():
     assert post["email", "++++"] > 0.95 and post["identity", "+0++"] > 0.5 > post["identity", "-0-+"]
 
 
+def test_many_matches_in_a_text(spark):
+    rng = random.Random(6)
+    parts = ["a.b@c.de ", "ssn 123-45-6789 ", "+1 (942) 555-3625, ", "10.1.2.3;", "4111 1111 1111 1111 ", "call 555-123-4567 or ", "é "]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in (3, 127, 128, 400, 60_000)]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert time.time() - began < 120
+    for i, text in enumerate(texts):
+        assert got[i].base_sha256 == hashlib.sha256(brute(text).encode()).hexdigest()
+        spans = [(s.split(":")[0], *map(int, s.split(":")[1:])) for s in got[i].spans.split(",") if s]
+        assert [s[1] for s in spans] == sorted(s[1] for s in spans)
+        base, end = {k for k, *_ in RULES}, 0
+        for kind, start, stop in spans:  # no added span meets a base one
+            if kind not in base:
+                assert start >= end
+            else:
+                end = max(end, stop)
+        assert {k for k, *_ in spans} - base <= set(pii.WIDER)
+
+
 def test_empty(spark):
     assert pii.digest(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0

@@ -7,6 +7,7 @@ import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,21 +62,85 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def spans_of(text: Column, pattern: str, kind: str) -> Column:
+#: Elements that one accumulation copies its result for; longer arrays are accumulated chunk by chunk.
+CHUNK = 128
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once although use may name it often (also within lambdas)."""
+    return F.transform(F.array(value), use)[0]
+
+
+def chunk_starts(values: Column) -> Column:
+    """Where each chunk of an array begins (from 1); one chunk of nothing for an empty array."""
+    return F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(CHUNK))
+
+
+def before_each(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array<bigint>, what combine makes of all elements before it, 0 at first.
+
+    Appending to an array copies it, so chunks are accumulated on their own, from what all chunks before them make."""
+    none = F.array().cast("array<bigint>")
+
+    def appended(own: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), none.alias("out"))
+        return F.aggregate(own, first, lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    zero = F.lit(0).cast("bigint")
+    wholes = F.transform(chunk_starts(values), lambda s: F.aggregate(F.slice(values, s, CHUNK), zero, combine))
+    return let(appended(wholes, zero), lambda offsets: F.flatten(F.transform(chunk_starts(values), lambda s, k: appended(F.slice(values, s, CHUNK), offsets[k]))))
+
+
+def spans_of(text: Column, pattern: str, kind: str, around: int = 0) -> Column:
     """array<struct<kind, start, end, hit>> of the leftmost non-overlapping matches, code points, end exclusive.
 
-    The texts between matches and the matches themselves, laid end to end, give the positions: no UDF is needed."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,hit:string>>")
+    The texts between matches and the matches themselves, laid end to end, give the positions: no UDF is needed, and no
+    text is cut at a position, which would mean to count characters from its start again. With `around`, each span also
+    has `before` (so many characters at most, back to where the match before it begins) and `after` (one)."""
+
+    def described(gaps: Column, hits: Column, sizes: Column, ats: Column) -> Column:
+        def one(hit: Column, i: Column) -> Column:
+            fields = [F.lit(kind).alias("kind"), (ats[i] + F.length(gaps[i])).alias("start"), (ats[i] + sizes[i]).alias("end"), hit.alias("hit")]
+            if around:
+                last = F.concat(F.when(i > 0, F.get(hits, i - 1)).otherwise(""), gaps[i])
+                fields += [F.right(last, F.lit(around)).alias("before"), F.left(F.concat(gaps[i + 1], F.coalesce(F.get(hits, i + 1), F.lit(""))), F.lit(1)).alias("after")]
+            return F.struct(*fields)
+
+        return F.transform(hits, one)
+
+    def placed(gaps: Column, hits: Column) -> Column:
+        sizes = F.transform(hits, lambda hit, i: (F.length(gaps[i]) + F.length(hit)).cast("bigint"))
+        return let(sizes, lambda sizes: let(before_each(sizes, lambda a, b: a + b), lambda ats: described(gaps, hits, sizes, ats)))
+
+    return let(F.split(text, pattern, -1), lambda gaps: let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: placed(gaps, hits)))
+
+
+def replaced(text: Column, spans: Column, mark: str) -> Column:
+    """The text with each of these spans (by start) replaced by the mark, spans that overlap by one together.
+
+    A text is cut at positions by counting characters from its start, so it is first cut into a part for each chunk of spans."""
+
+    def cut(whole: Column, start: Column, stop: Column) -> Column:
+        return F.substr(whole, (start + 1).cast("int"), (stop - start).cast("int"))
+
+    def joined(spans: Column, reach: Column, end: Column) -> Column:
+        def part(s: Column) -> Column:
+            base = reach[s - 1]
+            stop = F.coalesce(F.get(reach, s - 1 + CHUNK), end)
+
+            def marked(own: Column) -> Column:
+                one = lambda span, r: F.when(span["start"] < r, "").otherwise(F.concat(cut(own, r - base, span["start"] - base), F.lit(mark)))
+                return F.array_join(F.zip_with(F.slice(spans, s, CHUNK), F.slice(reach, s, CHUNK), one), "")
+
+            return let(cut(text, base, stop), marked)
+
+        return F.concat(F.array_join(F.transform(chunk_starts(spans), part), ""), F.substr(text, (end + 1).cast("int")))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        return F.when(pair["hit"].isNull(), acc).otherwise(
-            F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["hit"].alias("hit")))).alias("out"))
-        )
+    def reached(spans: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+        return let(ends, lambda ends: let(before_each(ends, lambda a, b: F.greatest(a, b)), lambda reach: joined(spans, reach, F.array_max(ends))))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.when(F.size(spans) > 0, let(spans, reached)).otherwise(text)
 
 
 def joined_spans(spans: Column) -> Column:

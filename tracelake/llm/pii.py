@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import joined_spans, spans_of, work_dir, written
+from ._shared import before_each, joined_spans, let, spans_of, work_dir, written
 
 # Base patterns. Quantifiers are possessive where nothing could be given back, and a start inside a run that has failed
 # from its beginning is not tried again: the same matches in linear time, without deep recursion on long runs.
@@ -114,11 +114,10 @@ def _bucket(x: Column) -> Column:
 def _candidates(text: Column, kind: str) -> Column:
     """The candidates of one kind, with their votes and features."""
     pattern = (BASE | WIDER)[kind]
-    spans = F.filter(spans_of(text, pattern, kind), lambda s: _valid(kind, s["hit"]))
+    spans = F.filter(spans_of(text, pattern, kind, 40), lambda s: _valid(kind, s["hit"]))
 
     def described(s: Column) -> Column:
-        before = F.substr(text, F.greatest(s["start"] - 39, F.lit(1)).cast("int"), F.least(s["start"], F.lit(40)).cast("int"))
-        after = F.substr(text, (s["end"] + 1).cast("int"), F.lit(1))
+        before, after = s["before"], s["after"]
         form = F.regexp_replace(F.regexp_replace(F.regexp_replace(s["hit"], "[0-9]", "9"), "[a-z]+", "a"), "[A-Z]+", "A")
         edge = F.when(after == "", 0).when(after.rlike(r"\s"), 1).when(after.rlike(r"[.,;:!?)]"), 2).otherwise(3) + F.when(before == "", 0).when(before.rlike(r"\s$"), 4).otherwise(0)
         word = F.lower(F.regexp_extract(before, r"(\w+)\W*$", 1))
@@ -184,11 +183,26 @@ def find(docs: DataFrame) -> DataFrame:
     plain = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
     short = F.transform(F.filter("found", lambda c: c["rank"] < len(BASE)), lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["kind"].alias("kind"), c["end"].alias("end")))
     joined = rows.select("row", "doc_id", short.cast(plain).alias("own")).join(added, "row", "left")
-    free = F.filter(F.coalesce("added", F.array().cast(plain)), lambda a: ~F.exists("own", lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"])))
-    every = F.array_sort(F.concat("own", free))
+    every = F.when(F.col("added").isNull(), F.col("own")).otherwise(let(F.array_sort(F.concat("own", F.coalesce("added", F.array().cast(plain)))), _apart))
     return joined.select("doc_id", F.transform(every, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), (c["rank"] < len(BASE)).alias("base"))).alias("spans"))
 
 
+def _apart(spans: Column) -> Column:
+    """Of these spans (by start, then rank) the base ones, and those others that overlap none of them.
+
+    The farthest end of the base spans before a span and the nearest start of those after it tell, without comparing all pairs."""
+    far = F.lit(1 << 60)
+    is_base = lambda s: s["rank"] < len(BASE)
+    ends = F.transform(spans, lambda s: F.when(is_base(s), s["end"]).otherwise(F.lit(0)).cast("bigint"))
+    starts = F.transform(F.reverse(spans), lambda s: F.when(is_base(s), far - s["start"]).otherwise(F.lit(0)).cast("bigint"))
+    most = lambda a, b: F.greatest(a, b)
+
+    def kept(reach: Column, ahead: Column) -> Column:
+        return F.filter(spans, lambda s, i: is_base(s) | ((reach[i] <= s["start"]) & (far - ahead[F.size(spans) - 1 - i] >= s["end"])))
+
+    return let(ends, lambda e: let(starts, lambda f: let(before_each(e, most), lambda reach: let(before_each(f, most), lambda ahead: kept(reach, ahead)))))
+
+
 def digest(docs: DataFrame) -> DataFrame:
     found = find(docs).select("doc_id", "spans", F.filter("spans", lambda s: s["base"]).alias("own"))
     counts = [F.size(F.filter("own", _is(k))).cast("bigint").alias(f"n_{k}") for k in BASE]

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import joined_spans, spans_of, work_dir
+from ._shared import bounded_broadcast, joined_spans, replaced, spans_of, work_dir, written
 
 #: Name, pattern, and the least length of the match (or of its second group).
 RULES = (
@@ -59,14 +59,19 @@ def update_ledger(docs: DataFrame, ledger: str, text: str = "text", version: str
     Columns: blob, version, findings. A blob is appended once for each version; a job that died half-way leaves no
     part of its rows (the writer commits at its end), so a second call scans what is still missing."""
     spark = docs.sparkSession
-    # First a shuffle-free distinct within each task, then one row for each blob: copies of a text don't travel.
-    blobs = docs.select(blob_id(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("body")).groupBy("blob").agg(F.first("body").alias("body"))
+    blobs = docs.select(blob_id(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     schema = f"blob string, version string, findings {SPANS}"
     known = _existing(spark, ledger, schema)
     if known is not None:
-        blobs = blobs.join(known.where(F.col("version") == version).select("blob"), "blob", "left_anti")
+        # Names alone tell what was never scanned; only the texts of those are looked at again.
+        names = docs.select(blob_id(F.col(text)).alias("blob")).distinct()
+        unseen = written(names.join(known.where(F.col("version") == version).select("blob"), "blob", "left_anti"), work_dir(spark, "unseen-blobs"))
+        blobs = blobs.join(bounded_broadcast(unseen), "blob", "left_semi")
+    # Grouping begins within each task, so copies of a text hardly travel.
+    blobs = blobs.groupBy("blob").agg(F.first("body").alias("body"))
     blobs.select("blob", F.lit(version).alias("version"), _found(F.col("body")).alias("findings")).write.mode("append").parquet(ledger)
-    return spark.read.schema(schema).parquet(ledger).where(F.col("version") == version)
+    # Scans at the same time may both append a blob.
+    return spark.read.schema(schema).parquet(ledger).where(F.col("version") == version).dropDuplicates(["blob"])
 
 
 def _existing(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
@@ -75,15 +80,20 @@ def _existing(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     return spark.read.schema(schema).parquet(path) if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
 
 
-def scan(docs: DataFrame, ledger: str | None = None, text: str = "text", version: str = RULE_VERSION) -> DataFrame:
-    """docs with a column `findings`: array<struct<kind, start, end>>, by start and then kind; never null."""
-    spark = docs.sparkSession
-    rows = update_ledger(docs, ledger or work_dir(spark, "blob-ledger"), text, version)
+def _joined(docs: DataFrame, ledger: str | None, text: str, version: str) -> DataFrame:
+    """docs with a column `_tl_findings`."""
+    rows = update_ledger(docs, ledger or work_dir(docs.sparkSession, "blob-ledger"), text, version)
     # Only blobs with findings take part in the join; all other rows are filled in.
     hits = rows.where(F.size("findings") > 0).select(F.col("blob").alias("_tl_blob"), F.col("findings").alias("_tl_findings"))
     keyed = docs.withColumn("_tl_key", blob_id(F.col(text)))
     joined = keyed.join(hits, F.col("_tl_key") == F.col("_tl_blob"), "left").drop("_tl_key", "_tl_blob")
-    return joined.withColumn("findings", F.coalesce("_tl_findings", F.array().cast(SPANS))).drop("_tl_findings")
+    return joined.withColumn("_tl_findings", F.coalesce("_tl_findings", F.array().cast(SPANS)))
+
+
+def scan(docs: DataFrame, ledger: str | None = None, text: str = "text", version: str = RULE_VERSION) -> DataFrame:
+    """docs with a column `findings` (in place of one of that name): array<struct<kind, start, end>>, by start and then kind; never null."""
+    found = _joined(docs, ledger, text, version)
+    return found.withColumn("findings", F.col("_tl_findings")).drop("_tl_findings")
 
 
 def digest(docs: DataFrame, ledger: str | None = None) -> DataFrame:
@@ -101,15 +111,8 @@ def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[secret]") -
     """docs with each finding in the text replaced by the mark (overlapping findings by one); other rows unchanged.
 
     A column n_chars, if there is one, is set to the length of the text."""
-    found = scan(docs, ledger)
-
-    def merge(acc: Column, s: Column) -> Column:
-        # What is kept before this span, then the mark unless the span overlaps the one before it.
-        gap = F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out")))
-
-    head = F.aggregate("findings", F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")), merge, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"))))
-    out = found.withColumn("text", F.when(F.size("findings") > 0, head).otherwise(F.col("text")))
+    found = _joined(docs, ledger, "text", RULE_VERSION)
+    out = found.withColumn("text", replaced(F.col("text"), F.col("_tl_findings"), mark))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("_tl_findings") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -23,6 +23,21 @@ def test_plans_leak_nothing():
     assert again.token("Table", "fresh") == f"Table{names.counts['Table'] + 1}" and again.token("Table", "[ORDERS]") == "Table1"
 
 
+def test_names_that_texts_define():
+    def found(sql):
+        names = anonymize.Names()
+        anonymize._defined(sql, names)
+        return sorted((k, n) for k, n, _ in names.rows())
+
+    assert found("CREATE OR ALTER PROCEDURE [Sales DB].dbo.Hidden AS SELECT 1") == [("Database", "Sales DB"), ("Schema", "dbo"), ("Table", "Hidden")]
+    assert found("alter /* x */ view v as select 1; CREATE UNIQUE NONCLUSTERED INDEX ix ON t (a)") == [("Index", "ix"), ("Table", "v")]
+    assert found('CREATE STATISTICS st ON t (a) CREATE SCHEMA "s" ALTER SCHEMA other TRANSFER x') == [("Schema", "s"), ("Statistics", "st")]
+    assert found("create table #work____0AF1 (a int) -- CREATE TABLE gone\nselect 'CREATE TABLE quoted'") == [("TempTable", "#work")]
+    assert found("CREATE FUNCTION srv.db.sch.f() RETURNS int AS BEGIN RETURN 'cut") == [("Database", "db"), ("Schema", "sch"), ("Table", "f")]
+    assert found("CREATE") == found("alter table") == found("create login x") == []
+    assert [anonymize.temp_name(n) for n in ("#a____0F", "#a___0F", "#a____xyz", "b____0F", "#a")] == ["#a", "#a___0F", "#a____xyz", "b____0F", "#a"]
+
+
 def test_folder_keeps_going(tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     (tmp_path / "in" / "a.SQLPLAN").write_text(PLAN, encoding="utf-16")

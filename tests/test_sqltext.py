@@ -14,6 +14,8 @@ PAIRS = [
     ("SELECT * FROM t WHERE s = 'it''s'", "select * from t where s = ?"),
     ("SELECT a /* x /* y */ z */ FROM t WHERE b = -1.5e3", "select a from t where b = -?"),
     ("select x from T order by X DESC", "select x from T order by X DESC"),
+    ("SELECT a FROM t WHERE x NOT IN( 'a' ,N'b', 0x1 ) OR y IN (1) OR z IN (a, 1)", "select a from t where x not in (?) or y in (?) or z in (a, ?)"),
+    ("SELECT a FROM t WHERE x IN (1, -2) AND f(1, 2) IN (SELECT 1, 2)", "select a from t where x in (?, -?) and f(?, ?) in (select ?, ?)"),
 ]
 
 

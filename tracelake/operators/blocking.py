@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.store import written
+from .quantiles import of_counts
+
 DEPTH = 64
 #: Links of a loop up to which one task walks it; larger loops are walked by joins.
 LOOP = 100_000
@@ -29,7 +32,7 @@ def locality(processes: DataFrame) -> DataFrame:
     """Blocked processes by type of resource, and their share in percent."""
     counts = _of(processes, "blocked").groupBy("wait_resource_type").agg(F.count("*").alias("cnt"))
     total = F.sum("cnt").over(Window.partitionBy())  # a row for each type of resource
-    return counts.select("wait_resource_type", "cnt", F.round(F.lit(100.0).cast("double") * F.col("cnt") / F.nullif(total, F.lit(0)), 6).alias("pct"))
+    return counts.select("wait_resource_type", "cnt", (F.lit(100.0).cast("double") * F.col("cnt") / F.nullif(total, F.lit(0))).alias("pct"))
 
 
 def counts_by(processes: DataFrame, column: str, drop_null: bool = False, limit: int | None = None) -> DataFrame:
@@ -51,9 +54,12 @@ def top_statements(processes: DataFrame, signatures: DataFrame, role: str, limit
 
 
 def wait_times(processes: DataFrame) -> DataFrame:
+    """Median, 95th percentile and greatest wait of blocked processes: one row, of zeros without any."""
+    counts = _of(processes, "blocked").groupBy(F.col("wait_time_us").alias("value")).agg(F.count("*").alias("n"))
+    found = of_counts(counts, [], {"p50_us": 0.5, "p95_us": 0.95})
     zero = F.lit(0)
-    q = lambda p: F.round(F.coalesce(F.percentile("wait_time_us", F.lit(p)), zero.cast("double")), 2)
-    return _of(processes, "blocked").agg(q(0.5).alias("p50_us"), q(0.95).alias("p95_us"), F.coalesce(F.max("wait_time_us"), zero.cast("bigint")).alias("max_us"))
+    # One row each.
+    return counts.agg(F.max("value").alias("m")).join(found, how="left").select(F.coalesce("p50_us", zero.cast("double")).alias("p50_us"), F.coalesce("p95_us", zero.cast("double")).alias("p95_us"), F.coalesce("m", zero.cast("bigint")).alias("max_us"))
 
 
 def edges(reports: DataFrame, processes: DataFrame) -> DataFrame:
@@ -102,13 +108,14 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _walk_by_joins(links: DataFrame) -> DataFrame:
-    """The same for loops of any size: one distinct join for each level, each level a checkpoint."""
-    pairs = links.select("loop", "blocking", "blocked").distinct()
+    """The same for loops of any size: one distinct join for each level, each level a written table."""
+    pairs = written(links.select("loop", "blocking", "blocked").distinct(), "links")
     heads = pairs.select("loop", "blocking").distinct().join(pairs.select("loop", F.col("blocked").alias("blocking")), ["loop", "blocking"], "left_anti")
-    level = heads.select("loop", F.col("blocking").alias("head"), F.col("blocking").alias("at")).checkpoint()
+    level = heads.select("loop", F.col("blocking").alias("head"), F.col("blocking").alias("at"))
+    level = written(level, "chains")
     found = [level.select("loop", "head").distinct().withColumn("depth", F.lit(1))]
     for n in range(2, DEPTH + 1):
-        level = level.join(pairs.withColumnRenamed("blocking", "at"), ["loop", "at"]).select("loop", "head", F.col("blocked").alias("at")).distinct().checkpoint()
+        level = written(level.join(pairs.withColumnRenamed("blocking", "at"), ["loop", "at"]).select("loop", "head", F.col("blocked").alias("at")).distinct(), "chains")
         if level.isEmpty():
             break
         found.append(level.select("loop", "head").distinct().withColumn("depth", F.lit(n)))

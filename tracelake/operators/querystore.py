@@ -48,9 +48,14 @@ def parse_window(start: str | None = None, end: str | None = None, last: str | N
     return a, b
 
 
+def in_window(intervals: DataFrame, window_from=None, window_to=None) -> DataFrame:
+    """The intervals that meet the window."""
+    return intervals.where(overlaps(F.col("start_time"), F.col("end_time"), window_from, window_to))
+
+
 def runtime_stats(runtime: DataFrame, intervals: DataFrame, window_from=None, window_to=None, version: str | None = None) -> DataFrame:
     """Runtime rows of the intervals that meet the window, times in whole microseconds, other metrics in whole numbers, deviations as they are."""
-    rows = runtime.join(intervals, "runtime_stats_interval_id").where(overlaps(F.col("start_time"), F.col("end_time"), window_from, window_to))
+    rows = runtime.join(in_window(intervals, window_from, window_to).select("runtime_stats_interval_id", "start_time", "end_time"), "runtime_stats_interval_id")
     columns = []
     for name, milliseconds in METRICS.items():
         for part in ("avg", "min", "max", "last", "stdev"):
@@ -62,11 +67,36 @@ def runtime_stats(runtime: DataFrame, intervals: DataFrame, window_from=None, wi
             else:
                 value = microseconds(value) if milliseconds else value.cast("double").cast("bigint")
             columns.append(value.alias(column))
-    own = [c for c in ("runtime_stats_id", "plan_id", "runtime_stats_interval_id", "start_time", "end_time", "execution_type", "count_executions") if c in rows.columns]
+    own = [c for c in ("runtime_stats_id", "plan_id", "runtime_stats_interval_id", "start_time", "end_time", "execution_type", "execution_type_desc", "count_executions") if c in rows.columns]
     return rows.select(*own, *columns)
 
 
+def wait_stats(waits: DataFrame, intervals: DataFrame, window_from=None, window_to=None) -> DataFrame:
+    """Wait rows of the intervals that meet the window, waits in whole microseconds, the deviation as it is."""
+    rows = waits.join(in_window(intervals, window_from, window_to), "runtime_stats_interval_id", "left_semi")
+    names = [f"{part}_query_wait_time" for part in ("total", "avg", "min", "max", "last")]
+    times = [microseconds(F.col(f"{n}_ms")).alias(f"{n}_us") for n in names]
+    deviation = (F.col("stdev_query_wait_time_ms").cast("double") * 1000).alias("stdev_query_wait_time_us")
+    return rows.select("wait_stats_id", "plan_id", "runtime_stats_interval_id", F.col("wait_category_desc").alias("wait_category"), F.col("execution_type_desc").alias("execution_type"), *times, deviation)
+
+
+def plans_in_window(plans: DataFrame, runtime: DataFrame, intervals: DataFrame, window_from=None, window_to=None) -> DataFrame:
+    """Plans that ran in the window; without a window all plans, whether they ran or not."""
+    if window_from is None and window_to is None:
+        return plans
+    active = runtime.join(in_window(intervals, window_from, window_to), "runtime_stats_interval_id", "left_semi")
+    return plans.join(active, "plan_id", "left_semi")
+
+
+def queries_in_window(queries: DataFrame, plans: DataFrame, runtime: DataFrame, intervals: DataFrame, window_from=None, window_to=None) -> DataFrame:
+    """Queries with a plan that ran in the window; without a window all."""
+    if window_from is None and window_to is None:
+        return queries
+    return queries.join(plans_in_window(plans, runtime, intervals, window_from, window_to), "query_id", "left_semi")
+
+
 def texts_in_window(texts: DataFrame, queries: DataFrame, plans: DataFrame, runtime: DataFrame, intervals: DataFrame, window_from=None, window_to=None) -> DataFrame:
-    """Texts that ran in the window: what was a chain of joins and a DISTINCT is a chain of semi joins."""
-    active = runtime.join(intervals.where(overlaps(F.col("start_time"), F.col("end_time"), window_from, window_to)), "runtime_stats_interval_id", "left_semi")
-    return texts.join(queries.join(plans.join(active, "plan_id", "left_semi"), "query_id", "left_semi"), "query_text_id", "left_semi")
+    """Texts of queries that ran in the window: what was a chain of joins and a DISTINCT is a chain of semi joins."""
+    if window_from is None and window_to is None:
+        return texts
+    return texts.join(queries_in_window(queries, plans, runtime, intervals, window_from, window_to), "query_text_id", "left_semi")

@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import Rule, contains_text, view
+from .quantiles import of_counts
 
 SORTS = {"total": "total_us", "p95": "p95_us", "max": "max_us", "avg": "avg_us", "count": "cnt"}
 DIMENSIONS = ("database_name", "login_name", "client_hostname", "client_app_name")
 
 
-def p95(column: str | Column) -> Column:
-    """Exact, interpolated; to two decimals, which is exact for whole numbers."""
-    return F.round(F.percentile(column, F.lit(0.95)), 2)
+KEYS = ["normalized_hash", "statement_kind", "primary_table", "normalized_sql"]
+
+
+def durations(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, cnt, avg_us, p95_us (exact, interpolated), max_us and total_us of the rows' durations.
+
+    All comes from counts of the different durations of each key, made before anything is shuffled: a statement that a third
+    of all rows ran is no large group."""
+    counts = rows.groupBy(*keys, F.col("duration_us").alias("value")).agg(F.count("*").alias("n"))
+    timed = F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
+    # A quotient of whole numbers: sums of whole durations don't depend on the order of rows.
+    sums = counts.groupBy(*keys).agg(F.sum("n").alias("cnt"), (F.sum(F.col("value") * F.col("n")) / timed).alias("avg_us"), F.max("value").alias("max_us"), F.sum(F.col("value") * F.col("n")).alias("total_us"))
+    found = of_counts(counts, keys, {"p95_us": 0.95}).select(*(F.col(k).alias(f"_{k}") for k in keys), "p95_us")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return sums.join(found, same, "left").select(*keys, "cnt", "avg_us", "p95_us", "max_us", "total_us")
 
 
 def top_statements(executions: DataFrame, limit: int | None = 20, sort: str = "total", rules: list[Rule] = (), text: str | None = None) -> DataFrame:
@@ -24,10 +39,7 @@ def top_statements(executions: DataFrame, limit: int | None = 20, sort: str = "t
     rows = executions.where(view(list(rules)))
     if text:
         rows = rows.where(contains_text(F.col("normalized_sql"), text))
-    # A quotient of whole numbers: sums of whole durations don't depend on the order of rows.
-    out = rows.groupBy("normalized_hash", "statement_kind", "primary_table", "normalized_sql").agg(
-        F.count("*").alias("cnt"), F.round(F.sum("duration_us") / F.count("duration_us"), 4).alias("avg_us"), p95("duration_us").alias("p95_us"), F.max("duration_us").alias("max_us"), F.sum("duration_us").alias("total_us")
-    )
+    out = durations(rows, KEYS)
     order = F.col(SORTS.get(sort, "total_us"))
     return out.orderBy(order.desc_nulls_last(), "normalized_hash").limit(limit) if limit is not None else out
 
@@ -50,7 +62,7 @@ def parameter_impact(executions: DataFrame, parameters: DataFrame, name: str, no
     """Durations by value of a parameter, slowest mean first."""
     rows = executions if normalized_hash is None else executions.where(F.col("normalized_hash") == normalized_hash)
     joined = rows.select("execution_id", "duration_us").join(parameters.where(F.col("name") == name).select("execution_id", "value_text"), "execution_id")
-    out = joined.groupBy("value_text").agg(F.count("*").alias("cnt"), F.round(F.sum("duration_us") / F.count("duration_us"), 4).alias("avg_us"), p95("duration_us").alias("p95_us"), F.max("duration_us").alias("max_us"))
+    out = durations(joined, ["value_text"]).drop("total_us")
     return out.orderBy(F.col("avg_us").desc_nulls_last(), "value_text")
 
 

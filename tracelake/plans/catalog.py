@@ -36,8 +36,13 @@ _STATS = """SELECT normalized_hash, statement_kind, primary_table, normalized_sq
 FROM executions {where} GROUP BY ALL"""
 
 
+def rounded(df: DataFrame, **places: int) -> DataFrame:
+    """df with some columns rounded, so that both engines print the same."""
+    return df.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
 def _top(sort: str, rules: tuple = (), text: str | None = None, limit: int = 20):
-    return lambda spark, sf_dir: workload.top_statements(signed(spark, sf_dir), limit, sort, list(rules), text)
+    return lambda spark, sf_dir: rounded(workload.top_statements(signed(spark, sf_dir), limit, sort, list(rules), text), avg_us=4, p95_us=2)
 
 
 for _sort, _column in workload.SORTS.items():
@@ -66,6 +71,41 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed(spark, sf_dir).select("sql_text_raw", "normalized_sql", "normalized_hash", "statement_kind", "primary_table", "tokenize_failed").distinct()
 
 
+#: Statements of many shapes (%s stands for a number): normal form, kind and table. A form of None falls back to the text in lower case.
+SHAPES = (
+    ("SELECT o.Id, c.Name FROM dbo.Orders o INNER JOIN [Cust omers] c ON o.Cid = c.Id WHERE o.N > %s", "select o.Id, c.Name from dbo.Orders o inner join [Cust omers] c on o.Cid = c.Id where o.N > ?", "SELECT", None),
+    ("MERGE t USING s ON t.Id = s.Id AND t.N = %s WHEN MATCHED THEN DELETE;", "MERGE t USING s on t.Id = s.Id and t.N = ? when MATCHED then delete;", "OTHER", None),
+    ("SELECT a FROM dbo.T WHERE k = %s UNION ALL SELECT b FROM dbo.U", "select a from dbo.T where k = ? union all select b from dbo.U", "SELECT", None),
+    ("INSERT INTO dbo.Log (A, B) VALUES (%s, N'it''s')", "insert into dbo.Log (A, B) values (?, ?)", "INSERT", "dbo.Log"),
+    ("UPDATE  [my db].dbo.T /* why */ SET a = %s -- end", "update [my db].dbo.T set a = ?", "UPDATE", "my db.dbo.T"),
+    ("DELETE FROM Logs WHERE Id IN ( %s , 2,3 ) AND x IN (4)", "delete from Logs where Id in (?) and x in (?)", "DELETE", "Logs"),
+    ("EXEC @r = dbo.GetOrder @Id = %s, @s = 0x1F", "exec @r = dbo.GetOrder @Id = ?, @s = ?", "EXEC", "dbo.GetOrder"),
+    ("SELECT * FROM (SELECT TOP 5 x FROM dbo.V WHERE y = %s) d", "select * from (select top ? x from dbo.V where y = ?) d", "SELECT", None),
+    ("SELECT  'open %s FROM T", None, "OTHER", None),
+    ("@@@  not SQL (( %s", None, "OTHER", None),
+)
+
+
+def _quoted_sql(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+def _shapes_sql() -> str:
+    number = "CAST(event_id % 7 + 10 AS VARCHAR)"
+    raw = lambda t: f"replace({_quoted_sql(t)}, '%s', {number})"
+    case = lambda part: "CASE event_id % " + str(len(SHAPES)) + " " + " ".join(f"WHEN {i} THEN {part(shape)}" for i, shape in enumerate(SHAPES)) + " END"
+    form = lambda x: _quoted_sql(x[1]) if x[1] else f"regexp_replace(trim(lower({raw(x[0])})), '\\s+', ' ', 'g')"
+    return f"SELECT event_id, {case(lambda x: raw(x[0]))} AS sql_text_raw, {case(form)} AS normalized_sql, {case(lambda x: str(x[1] is None).lower())} AS tokenize_failed, {case(lambda x: _quoted_sql(x[2]))} AS statement_kind, CAST({case(lambda x: _quoted_sql(x[3]))} AS VARCHAR) AS primary_table FROM events"
+
+
+@_query("statement_shapes", _shapes_sql())
+def statement_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements beyond plain queries, one shape after another."""
+    e = F.col("event_id")
+    text = F.replace(F.element_at(F.array(*(F.lit(x[0]) for x in SHAPES)), (e % len(SHAPES) + 1).cast("int")), F.lit("%s"), (e % 7 + 10).cast("string"))
+    return with_signatures(views.events(spark, sf_dir).select("event_id", text.alias("sql_text_raw"))).select("event_id", "sql_text_raw", "normalized_sql", "tokenize_failed", "statement_kind", "primary_table")
+
+
 @_query("signature_first_last", f"WITH {EXECUTIONS_SQL} SELECT normalized_hash, min_by(captured_at, execution_id) AS first_seen_at, max_by(captured_at, execution_id) AS last_seen_at, min_by(normalized_sql, execution_id) AS normalized_sql FROM executions GROUP BY normalized_hash")
 def signature_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workload.signature_times(signed(spark, sf_dir))
@@ -98,7 +138,7 @@ def session_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("parameter_impact", f"WITH {EXECUTIONS_SQL} SELECT k AS value_text, count(*) AS cnt, round(sum(duration_us) / count(duration_us), 4) AS avg_us, round(quantile_cont(duration_us, 0.95), 2) AS p95_us, max(duration_us) AS max_us FROM executions WHERE event_name = 'click' GROUP BY k")
 def parameter_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = views.executions(spark, sf_dir).where("event_name = 'click'")
-    return workload.parameter_impact(clicks, views.parameters(spark, sf_dir), "@k")
+    return rounded(workload.parameter_impact(clicks, views.parameters(spark, sf_dir), "@k"), avg_us=4, p95_us=2)
 
 
 for _field in workload.DIMENSIONS:
@@ -232,7 +272,7 @@ def blocking_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("locality", _blocked("SELECT wait_resource_type, count(*) AS cnt, round(100.0 * count(*) / nullif(sum(count(*)) OVER (), 0), 6) AS pct FROM processes WHERE role = 'blocked' GROUP BY 1"))
 def locality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.locality(views.processes(spark, sf_dir))
+    return rounded(blocking.locality(views.processes(spark, sf_dir)), pct=6)
 
 
 @_query("top_objects", _counts_sql("object_id", "AND object_id IS NOT NULL", "LIMIT 10"))
@@ -251,7 +291,7 @@ for _name, _role in (("top_blockers", "blocking"), ("top_blocked", "blocked")):
 
 @_query("wait_times", _blocked("SELECT round(coalesce(quantile_cont(wait_time_us, 0.5), 0), 2) AS p50_us, round(coalesce(quantile_cont(wait_time_us, 0.95), 0), 2) AS p95_us, coalesce(max(wait_time_us), 0) AS max_us FROM processes WHERE role = 'blocked'"))
 def wait_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.wait_times(views.processes(spark, sf_dir))
+    return rounded(blocking.wait_times(views.processes(spark, sf_dir)), p50_us=2, p95_us=2)
 
 
 @_query("blocking_edges", "SELECT event_id // 8 AS loop, CAST(user_id % 8 AS INTEGER) AS blocking, CAST(event_id % 8 AS INTEGER) AS blocked FROM events WHERE event_id % 8 <> 0")
@@ -262,9 +302,11 @@ def blocking_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     "blocking_chains",
     """WITH RECURSIVE links AS (SELECT event_id // 8 AS loop, CAST(event_id % 8 AS INTEGER) AS blocked, CAST(user_id % 8 AS INTEGER) AS blocking FROM events WHERE event_id % 8 <> 0),
-    heads AS (SELECT DISTINCT loop, blocking AS head FROM links e WHERE NOT EXISTS (SELECT 1 FROM links x WHERE x.loop = e.loop AND x.blocked = e.blocking)),
-    walk AS (SELECT loop, head, head AS at, 1 AS depth FROM heads UNION ALL SELECT w.loop, w.head, l.blocked, w.depth + 1 FROM walk w JOIN links l ON l.loop = w.loop AND l.blocking = w.at WHERE w.depth < 64)
-    SELECT w.loop, w.head, max(w.depth) AS depth, (SELECT count(*) FROM links l WHERE l.loop = w.loop) AS edges FROM walk w GROUP BY w.loop, w.head""",
+    heads AS (SELECT a.loop, a.blocking AS head FROM (SELECT DISTINCT loop, blocking FROM links) a LEFT JOIN (SELECT DISTINCT loop, blocked FROM links) b ON a.loop = b.loop AND a.blocking = b.blocked WHERE b.loop IS NULL),
+    steps AS (SELECT DISTINCT loop, blocking, blocked FROM links),
+    levels AS (SELECT loop, head, head AS place, 1 AS level FROM heads UNION SELECT u.loop, u.head, s.blocked, u.level + 1 FROM levels u, steps s WHERE s.loop = u.loop AND s.blocking = u.place AND u.level <= 63),
+    sizes AS (SELECT loop, count(*) AS edges FROM links GROUP BY loop)
+    SELECT u.loop AS loop, u.head AS head, max(u.level) AS depth, min(z.edges) AS edges FROM levels u JOIN sizes z ON z.loop = u.loop GROUP BY u.loop, u.head""",
 )
 def blocking_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.chains(views.reports(spark, sf_dir), views.processes(spark, sf_dir))
@@ -360,6 +402,71 @@ def history_texts_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return querystore.texts_in_window(texts, queries, plans, runtime, intervals, start, end)
 
 
+def history_views(spark: SparkSession, sf_dir: str):
+    """Stand-ins of the history's views: a customer is a text, an order a query, its plan and its interval, a line item a runtime row and a wait."""
+    items, intervals = _history(spark, sf_dir)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    parts = lambda column, name, unit: [(F.col(column) / d).alias(f"{p}_{name}{unit}") for p, d in (("total", 1), ("avg", 8), ("min", 16), ("max", 2), ("last", 3), ("stdev", 10))]
+    views = {
+        "query_store_query_text": lambda: spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("query_text_id"), F.col("c_name").alias("query_sql_text")),
+        "query_store_query": lambda: orders.select(F.col("o_orderkey").alias("query_id"), F.col("o_custkey").alias("query_text_id"), F.col("o_orderdate").alias("last_execution_time"), (F.col("o_orderkey") % 9).alias("count_compiles"), F.col("o_orderpriority").alias("query_parameterization_type_desc")),
+        "query_store_plan": lambda: orders.select(F.col("o_orderkey").alias("plan_id"), F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 2 == 0).alias("is_parallel_plan"), F.lit(150).alias("compatibility_level"), F.concat(F.lit("<plan id='"), F.col("o_orderkey").cast("string"), F.lit("'/>")).alias("query_plan")),
+        "query_store_runtime_stats": lambda: items.select(F.col("l_linenumber").alias("runtime_stats_id"), F.col("l_orderkey").alias("plan_id"), F.col("l_orderkey").alias("runtime_stats_interval_id"), (F.col("l_quantity") / 8).alias("avg_duration"), F.lit("Regular").alias("execution_type_desc"), F.lit(3).alias("count_executions")),
+        "query_store_runtime_stats_interval": lambda: intervals,
+        "query_store_wait_stats": lambda: items.select(F.col("l_linenumber").alias("wait_stats_id"), F.col("l_orderkey").alias("plan_id"), F.col("l_orderkey").alias("runtime_stats_interval_id"), F.col("l_returnflag").alias("wait_category_desc"), F.col("l_linestatus").alias("execution_type_desc"), *parts("l_quantity", "query_wait_time", "_ms")),
+        "database_query_store_options": lambda: spark.createDataFrame([("READ_WRITE", "READ_WRITE")], "actual_state_desc string, desired_state_desc string"),
+    }
+    return lambda name: views[name]() if name in views else None
+
+
+def _extracts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    from datetime import datetime
+
+    from ..sources import history
+
+    return history.extracts(history_views(spark, sf_dir), tuple(map(datetime.fromisoformat, _PERIOD)), "15.0")
+
+
+_ACTIVE = f"SELECT 1 FROM orders o JOIN lineitem ON l_orderkey = o.o_orderkey WHERE o.o_orderdate < TIMESTAMP '{_PERIOD[1]}' AND o.o_orderdate + INTERVAL 1 DAY > TIMESTAMP '{_PERIOD[0]}'"
+
+
+@_query("history_queries_in_window", f"SELECT o_orderkey AS query_id, o_custkey AS query_text_id, CAST(o_orderkey % 9 AS BIGINT) AS count_compiles, o_orderpriority AS query_parameterization_type, false AS is_internal_query, CAST(o_orderdate AS TIMESTAMP) AS last_execution_time FROM orders q WHERE EXISTS ({_ACTIVE} AND o.o_orderkey = q.o_orderkey)")
+def history_queries_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracts(spark, sf_dir)["qds_queries"].select("query_id", "query_text_id", "count_compiles", "query_parameterization_type", "is_internal_query", "last_execution_time")
+
+
+@_query("history_plans_in_window", f"SELECT o_orderkey AS plan_id, o_orderkey AS query_id, (o_orderkey % 2 = 0) AS is_parallel_plan, false AS is_forced_plan, 150 AS compatibility_level, '<plan id=' || chr(39) || CAST(o_orderkey AS VARCHAR) || chr(39) || '/>' AS query_plan FROM orders q WHERE EXISTS ({_ACTIVE} AND o.o_orderkey = q.o_orderkey)")
+def history_plans_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracts(spark, sf_dir)["qds_plans"].select("plan_id", "query_id", "is_parallel_plan", "is_forced_plan", "compatibility_level", "query_plan")
+
+
+@_query(
+    "history_wait_stats",
+    f"""SELECT CAST(l_linenumber AS INTEGER) AS wait_stats_id, l_orderkey AS plan_id, l_returnflag AS wait_category, l_linestatus AS execution_type, CAST(round(l_quantity * 1000) AS BIGINT) AS total_query_wait_time_us, CAST(round(l_quantity / 8 * 1000) AS BIGINT) AS avg_query_wait_time_us, CAST(round(l_quantity / 2 * 1000) AS BIGINT) AS max_query_wait_time_us, round(l_quantity / 10 * 1000, 6) AS stdev_query_wait_time_us
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '{_PERIOD[1]}' AND o_orderdate + INTERVAL 1 DAY > TIMESTAMP '{_PERIOD[0]}'""",
+)
+def history_wait_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _extracts(spark, sf_dir)["qds_wait_stats"]
+    return rounded(rows.select("wait_stats_id", "plan_id", "wait_category", "execution_type", "total_query_wait_time_us", "avg_query_wait_time_us", "max_query_wait_time_us", "stdev_query_wait_time_us"), stdev_query_wait_time_us=6)
+
+
+_ROWS = f"SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate < TIMESTAMP '{_PERIOD[1]}' AND o_orderdate + INTERVAL 1 DAY > TIMESTAMP '{_PERIOD[0]}'"
+
+
+@_query(
+    "history_run_counts",
+    f"""SELECT 'qds_query_text' AS name, (SELECT count(*) FROM customer c WHERE EXISTS ({_ACTIVE} AND o.o_custkey = c.c_custkey)) AS cnt UNION ALL SELECT 'qds_queries', (SELECT count(*) FROM orders q WHERE EXISTS ({_ACTIVE} AND o.o_orderkey = q.o_orderkey))
+    UNION ALL SELECT 'qds_plans', (SELECT count(*) FROM orders q WHERE EXISTS ({_ACTIVE} AND o.o_orderkey = q.o_orderkey)) UNION ALL SELECT 'qds_runtime_stats', ({_ROWS}) UNION ALL SELECT 'qds_wait_stats', ({_ROWS})""",
+)
+def history_run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each table of an import gets, as the run's row tells them."""
+    counts = [rows.agg(F.count("*").alias("cnt")).select(F.lit(name).alias("name"), "cnt") for name, rows in _extracts(spark, sf_dir).items()]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.union(more)
+    return out
+
+
 @_query("ingest_filter", f"WITH {EXECUTIONS_SQL} SELECT database_name, count(*) AS cnt FROM executions WHERE lower(database_name) IN ('db1', 'db2') AND NOT coalesce(lower(login_name) <> 'login1', false) GROUP BY 1")
 def ingest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [Rule("database_name", "in", values=("DB1", "DB2"), stage="ingest"), Rule("login_name", "neq", "LOGIN1", stage="ingest", action="exclude"), Rule("duration_us", "gt", "0", stage="ingest", action="exclude")]
@@ -388,11 +495,38 @@ def deadlock_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_deadlock(rows, "xml").select("file_offset", joined("participant_spids"), joined("victim_spids"))
 
 
-@_query("blocking_digest")
+def _items(section: str, fields: str, source: str) -> str:
+    """SQL for a section of the digest: its items' fields, joined by bars; null fields are empty."""
+    text = " || '|' || ".join(f"coalesce(CAST({f} AS VARCHAR), '')" for f in fields.split(", "))
+    return f"SELECT '{section}' AS section, {text} AS line FROM ({source}) x"
+
+
+def _statements(role: str) -> str:
+    return f"SELECT inputbuf_fingerprint AS f, coalesce(s.normalized_sql, inputbuf, '(none)') AS t, count(*) AS cnt FROM processes p LEFT JOIN signatures s ON p.inputbuf_fingerprint = s.normalized_hash WHERE role = '{role}' AND inputbuf_fingerprint IS NOT NULL GROUP BY 1, 2 ORDER BY cnt DESC, 1, 2 LIMIT 10"
+
+
+def _grouped(column: str, where: str = "", limit: str = "") -> str:
+    return f"SELECT coalesce(CAST({column} AS VARCHAR), '(none)') AS key, count(*) AS cnt FROM processes WHERE role = 'blocked' {where} GROUP BY 1 ORDER BY cnt DESC, key {limit}"
+
+
+_DIGEST = " UNION ALL ".join(
+    [
+        _items("Overview", "a, b, c, d", "SELECT (SELECT count(*) FROM reports) AS a, (SELECT count(*) FROM events WHERE event_id % 17 = 0) AS b, (SELECT min(captured_at) FROM reports) AS c, (SELECT max(captured_at) FROM reports) AS d"),
+        _items("Locality", "t, cnt, pct", "SELECT wait_resource_type AS t, count(*) AS cnt, CAST(round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS DECIMAL(12, 6)) AS pct FROM processes WHERE role = 'blocked' GROUP BY 1"),
+        _items("TopObjects", "key, cnt", _grouped("object_id", "AND object_id IS NOT NULL", "LIMIT 10")), _items("LockModes", "key, cnt", _grouped("lock_mode")), _items("IsolationLevels", "key, cnt", _grouped("isolation_level")),
+        _items("TopBlockers", "f, t, cnt", _statements("blocking")), _items("TopBlocked", "f, t, cnt", _statements("blocked")),
+        _items("WaitTimes", "a, b, c", "SELECT CAST(trunc(quantile_cont(wait_time_us, 0.5)) AS BIGINT) AS a, CAST(trunc(quantile_cont(wait_time_us, 0.95)) AS BIGINT) AS b, max(wait_time_us) AS c FROM processes WHERE role = 'blocked'"),
+        _items("Chains", "loop, depth, head, edges", "SELECT * FROM chains"),
+        _items("Samples", "f, place, report_id, captured_at", f"SELECT * FROM (SELECT p.inputbuf_fingerprint AS f, r.report_id, r.captured_at, row_number() OVER (PARTITION BY p.inputbuf_fingerprint ORDER BY r.captured_at, r.report_id) AS place FROM processes p JOIN reports r ON p.report_id = r.report_id WHERE role = 'blocking' AND p.inputbuf_fingerprint IN (SELECT f FROM ({_statements('blocking')}) t)) y WHERE place <= 5"),
+    ]
+)
+
+
+@_query("blocking_digest", f"WITH {BLOCKING_SQL}, chains AS ({ORACLES['blocking_chains']}) {_DIGEST}")
 def blocking_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import digest
 
-    return digest.as_json(digest.build(views.reports(spark, sf_dir), views.processes(spark, sf_dir), _deadlocks(spark, sf_dir), views.signatures(spark, sf_dir)))
+    return digest.lines(digest.build(views.reports(spark, sf_dir), views.processes(spark, sf_dir), _deadlocks(spark, sf_dir), views.signatures(spark, sf_dir)))
 
 
 def plan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,5 +556,4 @@ def anonymous_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import anonymize
 
     plans = plan_documents(spark, sf_dir)
-    mapping = [tuple(r) for r in anonymize.names(plans).collect()]
-    return anonymize.anonymized(plans, mapping).select("plan_id", "anon_xml")
+    return anonymize.anonymized(plans, anonymize.names(plans)).select("plan_id", "anon_xml")

@@ -14,6 +14,7 @@ from ..functions import fields
 from ..functions.sqltext import with_signatures
 from ..operators.filters import Rule, ingest
 from ..operators.xmlreports import parse_blocking, parse_deadlock
+from .store import Store, written
 
 RAW = "name string, ts timestamp_ntz, fields map<string,string>, actions map<string,string>, file_name string, file_offset bigint"
 NORMALIZER_VERSION = 1
@@ -21,19 +22,22 @@ NORMALIZER_VERSION = 1
 
 def resolve(spark: SparkSession, path: str, suffix: str = ".parquet") -> list[str]:
     """The capture files of a folder by name (not of folders below it), or the one file; their order decides ids."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
+    store = Store(spark)
+    if not store.exists(path):
         raise FileNotFoundError(path)
-    if fs.getFileStatus(at).isFile():
+    if store.is_file(path):
         return [path]
-    return sorted(str(s.getPath()) for s in fs.listStatus(at) if s.isFile() and s.getPath().getName().lower().endswith(suffix))
+    return [at for at, name, is_file, _ in store.children(path) if is_file and name.lower().endswith(suffix)]
+
+
+def captures(spark: SparkSession, path: str) -> list[str]:
+    """The files of the landing format under a path: Parquet, or JSON lines where there is none."""
+    return resolve(spark, path, ".parquet") or resolve(spark, path, ".jsonl")
 
 
 def landed(spark: SparkSession, path: str) -> DataFrame:
     """Events of the landing format under a path: Parquet, or JSON lines."""
-    files = resolve(spark, path, ".parquet") or resolve(spark, path, ".jsonl")
+    files = captures(spark, path)
     if not files:
         return spark.createDataFrame([], RAW)
     return (spark.read.schema(RAW).parquet(*files)) if files[0].lower().endswith(".parquet") else spark.read.schema(RAW).json(files)
@@ -88,8 +92,9 @@ def outcomes(raw: DataFrame, rules: list[Rule] = ()) -> DataFrame:
 def numbered(df: DataFrame, name: str, first: int, order: list[Column]) -> DataFrame:
     """df with dense ids from `first` in the given order, without bringing all rows to one task.
 
-    Range partitions are counted (a row each comes to the driver) and number their own rows from where they begin."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    Range partitions are counted (a row each comes to the driver) and number their own rows from where they begin. They are
+    written first: a lost executor then can't deal rows of equal order anew between the count and the numbers."""
+    ranged = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     starts, at = [], first
     for part, n in sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect()):
         starts.append((part, at))
@@ -102,9 +107,9 @@ def numbered(df: DataFrame, name: str, first: int, order: list[Column]) -> DataF
 def tables(raw: DataFrame, run_id: int = 1, redaction: str = "masked", rules: list[Rule] = (), next_ids: tuple[int, int, int] = (1, 1, 1)) -> dict[str, DataFrame]:
     """executions, normalized_queries, execution_parameters, blocking_reports, blocking_processes, deadlock_reports and run_counters of one import."""
     order = [F.col("xe_file_name"), F.col("file_offset")]
-    events = outcomes(raw, rules).persist()
+    events = written(outcomes(raw, rules), "events")
     own = with_signatures(numbered(events.where("outcome = 'mapped'"), "execution_id", next_ids[0], order)).withColumn("run_id", F.lit(run_id).cast("bigint"))
-    executions = own.drop("blocking_class", "blocked_process", "xml_report", "outcome")
+    executions = written(own.drop("blocking_class", "blocked_process", "xml_report", "outcome"), "executions")
     seen = lambda c: F.struct("execution_id", c)[c]
     signatures = executions.groupBy("normalized_hash").agg(
         *(F.min_by(c, "execution_id").alias(c) for c in ("normalized_sql", "statement_kind", "primary_table")), F.min_by(seen("captured_at"), "execution_id").alias("first_seen_at"), F.max_by(seen("captured_at"), "execution_id").alias("last_seen_at")

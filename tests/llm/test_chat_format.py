@@ -27,6 +27,22 @@ def test_against_the_rows(spark, sf_dir):
         assert r.formatted_chars >= sum(len(a) + len(b) for a, b in own)
 
 
+def test_a_hot_conversation_is_spread(spark):
+    """One conversation holds nearly all rows: formatting has it in many partitions, in order, and the digest is the same."""
+    rows = spark.range(4000).selectExpr("if(id % 100 = 0, id, -1) AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text ', id) AS text")
+    made = chat_format.formatted(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small partitions are read as one
+    try:
+        assert made.where("conv_id = -1").selectExpr("spark_partition_id() AS p").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    hot = [r.formatted for r in made.where("conv_id = -1").orderBy("place").collect()]
+    want = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(4000) if i % 100]
+    assert chat_format.parse("".join(hot)) == want
+    (row,) = chat_format.digest(rows).where("conv_id = -1").collect()
+    assert row.turns_sha256 == sha("".join(f"{a}\n{b}\n" for a, b in want)) and row.formatted_chars == sum(map(len, hot))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.text(st.sampled_from("\\#:\n</turn> é"), max_size=12), st.text(st.sampled_from("\\#:\n</turn> é😀"), max_size=30)), min_size=1, max_size=6))
 def test_exact_round_trip(turns):

@@ -65,6 +65,15 @@ def test_empty_tables(spark):
     check(spark, docs.limit(0), items)
 
 
+def test_marked_slots_let_through_no_other_words(spark, monkeypatch):
+    """Words of one slot: the table of marks passes them all, the join only the benchmark's own."""
+    monkeypatch.setattr(decontamination, "INLINE_WORDS", 1)
+    monkeypatch.setattr(decontamination, "SLOTS", 2)
+    items = spark.createDataFrame([(1, "a b c"), (2, " ".join(f"w{i}" for i in range(30))), (3, None)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "x a b c y"), (2, "a b d"), (3, " ".join(f"w{i}" for i in range(5, 25))), (None, "q r s t u v")], "doc_id bigint, text string")
+    check(spark, docs, items)
+
+
 def test_wide_vocabulary_takes_the_joined_way(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(decontamination, "INLINE_WORDS", 3)
     check(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20), spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(10))

@@ -56,8 +56,9 @@ class Brute:
         return len(words(text)), sum(self.counts[w] > 0 for w in words(text)), self.n, base, score
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_against_brute_force(spark, sf_dir, order, monkeypatch):
+@pytest.mark.parametrize(("order", "few", "id_kind"), [(1, 1024, None), (2, 1024, None), (3, 1024, None), (2, 2, None), (3, 4, "u8"), (2, 1024, "u8")])
+def test_against_brute_force(spark, sf_dir, order, few, id_kind, monkeypatch):
+    """Few ranges or many (dealt in two passes), short ids or long: the same scores."""
     monkeypatch.setattr(lm_scoring, "HELD", 3000)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(70)
     odd = spark.createDataFrame([(None, "null id"), (901, None), (902, ""), (903, "unseen zzz AND é"), (904, " x" * 300)], "doc_id bigint, text string")
@@ -65,7 +66,7 @@ def test_against_brute_force(spark, sf_dir, order, monkeypatch):
     rows = docs.collect()
     out = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
     brute = Brute([r.text for r in rows if not out(r.doc_id)], order)
-    got = sorted(map(tuple, lm_scoring.scored(docs, order, 20_000).drop("perplexity").collect()), key=lambda r: (str(r[0]), r[2]))
+    got = sorted(map(tuple, lm_scoring.scored(docs, order, 20_000, few, id_kind).drop("perplexity").collect()), key=lambda r: (str(r[0]), r[2]))
     want = sorted(((r.doc_id, out(r.doc_id), *brute.scores(r.text)) for r in rows), key=lambda r: (str(r[0]), r[2]))
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want, strict=True):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
@@ -34,9 +35,26 @@ def _local_root() -> str:
     return path
 
 
+#: Folders that work_dir has named and released() has not removed.
+_made: list[str] = []
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared one."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Removes, at its end, the folders that work_dir names within: what was made from them must be written by then."""
+    known = len(_made)
+    yield
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in _made[known:]:
+        at = hadoop.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _made[known:]
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -45,6 +63,11 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, label: str) -> DataFrame:
+    """docs, written, with a key for each row (_tl_row): ids may be null or repeated."""
+    return written(docs.withColumn("_tl_row", F.monotonically_increasing_id()), work_dir(docs.sparkSession, label))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

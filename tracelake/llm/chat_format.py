@@ -1,9 +1,10 @@
 """Chat formatting by columnar byte assembly.
 
-Rows are brought together by conversation and ordered by turn. For each Arrow batch, all turns are formatted at once:
-segment lengths, cumulative offsets and scatter indices in numpy place headers, texts and ends in one buffer, which
-becomes the Arrow column of formatted turns without a copy. A conversation is the concatenation of its rows' segments,
-so one of any length streams through in parts and is never held whole.
+Rows are put in order of conversation and turn by ranges, so a conversation of any length is spread over tasks. For each
+Arrow batch, all turns are formatted at once: segment lengths, cumulative offsets and scatter indices in numpy place
+headers, texts and ends in one buffer, which becomes the Arrow column of formatted turns without a copy. A conversation is
+the concatenation of its rows' segments in the order of `place`. Only the digest of a whole conversation is one sequence by
+nature: there its segments stream through one task and are never held together.
 
 Template, for each turn:  "### " role ":\\n" text "\\n</turn>\\n".  In roles and texts "\\" becomes "\\\\", "###" gets "\\" before
 it and so does "</turn>"; in roles also ":" and line ends. Unescaping drops each first "\\" of a pair: it is the exact inverse,
@@ -89,13 +90,14 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, formatted, scored, text_at and text_bytes (the byte span of the text; under the loss mask if scored).
+    """conv_id, turn, formatted, scored, text_at, text_bytes (the byte span of the text; under the loss mask if scored) and place.
 
-    Rows of a conversation lie together and in order within a partition."""
+    Rows are in order of conversation, turn, role and text, within partitions and from one to the next; place tells that order."""
     kinds = {c: conversations.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
-    # Grouped by hash, so that conversations stay whole; a hot one streams through its task row by row.
-    rows = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInArrow(_format, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, formatted string, scored boolean, text_at long, text_bytes long")
+    order = ["conv_id", "turn", "role", "text"]
+    rows = conversations.select(*order).repartitionByRange("conv_id", "turn").sortWithinPartitions(*order)
+    made = rows.mapInArrow(_format, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, formatted string, scored boolean, text_at long, text_bytes long")
+    return made.withColumn("place", F.monotonically_increasing_id())
 
 
 def parse(document: str) -> list[tuple[str, str]]:
@@ -149,7 +151,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digest(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars of each conversation, read back from the output."""
     kind = conversations.schema["conv_id"].dataType.simpleString()
-    return formatted(conversations).mapInArrow(_read_back, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    segments = formatted(conversations).repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    return segments.mapInArrow(_read_back, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def with_control_strings(conversations: DataFrame) -> DataFrame:

@@ -12,15 +12,18 @@ result; null document ids stay; an item whose id is null hits words but is neith
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import bounded_broadcast, lower_az, work_dir, written
+from ._shared import bounded_broadcast, keyed, lower_az, work_dir, written
 
 WIDTH = 13
-#: Up to so many distinct benchmark words the test for them is a hash set inside the scan; beyond, a shuffled join.
-INLINE_WORDS = 50_000
+#: Up to so many distinct benchmark words the test for them within the scan is a hash set, beyond it a table of `SLOTS` bytes:
+#: a word whose slot is marked may be one of them, and the join on the word that follows tells.
+INLINE_WORDS, SLOTS = 50_000, 1 << 22
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -40,19 +43,33 @@ def windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
     return words.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("words"), i, width))).alias("window")).distinct()
 
 
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+
+
+def _among(words: DataFrame, inline: int) -> Callable[[Column], Column]:
+    """A test for the words of a written table (one column): exact where they are few, else one that also passes some others."""
+    few = [r[0] for r in words.limit(inline + 1).collect()]
+    if len(few) <= inline:
+        return lambda word: word.isin(few) if few else F.lit(False)
+    marks = bytearray(SLOTS)
+    for r in words.select(_slot(words[0]).alias("slot")).distinct().toLocalIterator():  # SLOTS numbers at most
+        marks[r.slot] = 1
+    table = F.lit(marks)
+    return lambda word: F.substr(table, _slot(word) + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_hit, n_items, items (sorted array of item ids as strings)."""
     spark = docs.sparkSession
     at = work_dir(spark, "decontamination")
     grams = written(windows(items, width), f"{at}/windows")
     vocabulary = written(grams.select(F.explode("window").alias("word")).distinct(), f"{at}/vocabulary")
-    inline = [r.word for r in vocabulary.limit(INLINE_WORDS + 1).collect()]
-    few = len(inline) <= INLINE_WORDS
 
-    # Rarity: how often each benchmark word stands in all documents.
+    # Rarity: how often each benchmark word stands in all documents. Counted within tasks first, then joined.
     words = docs.select(F.explode(words_of(F.col("text"))).alias("word"))
-    words = words.where(F.col("word").isin(inline)) if few else words.join(vocabulary, "word", "left_semi")
-    counts = written(words.groupBy("word").count(), f"{at}/counts")
+    words = words.where(_among(vocabulary, INLINE_WORDS)(F.col("word")))
+    counts = written(words.groupBy("word").count().join(bounded_broadcast(vocabulary), "word", "left_semi"), f"{at}/counts")
 
     # The prefix token of each window and its place there: the rarest word, the first of equals.
     placed = grams.select("item_id", "window", F.posexplode("window").alias("offset", "word")).join(bounded_broadcast(counts), "word", "left")
@@ -60,11 +77,9 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     prefixes = written(placed.groupBy("item_id", "window").agg(best).where(F.col("least.count") > 0).select("item_id", "window", F.col("least.offset").alias("offset"), F.col("least.word").alias("word")), f"{at}/prefixes")
 
     # One pass over the documents: the words around each prefix token, nothing else, leave the row.
-    tokens = prefixes.select("word").distinct()
-    rare = [r.word for r in tokens.limit(INLINE_WORDS + 1).collect()]
+    is_rare = _among(written(prefixes.select("word").distinct(), f"{at}/rare"), INLINE_WORDS)
     rows = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     rows = rows.select("doc_id", n_words(F.col("words")).cast("bigint").alias("n_words"), "words")
-    is_rare = (lambda w: w.isin(rare)) if len(rare) <= INLINE_WORDS else (lambda w: w != "")
     around = F.transform(
         F.filter(F.transform(F.col("words"), lambda w, i: F.when(is_rare(w), i)), lambda i: i.isNotNull()),
         lambda i: F.struct(i.alias("at"), F.element_at("words", i + 1).alias("word"), F.greatest(i - (width - 1), F.lit(0)).alias("first"), F.slice("words", F.greatest(i - (width - 1), F.lit(0)) + 1, 2 * width - 1).alias("near")),
@@ -105,6 +120,8 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, whole. Repeated ids go together with any contaminated row of theirs."""
-    bad = written(contamination(docs, items).where(is_contaminated()).select(F.col("doc_id").alias("_tl_doc_id")).distinct(), work_dir(docs.sparkSession, "contaminated"))
-    return docs.join(bounded_broadcast(bad), F.col("doc_id").eqNullSafe(F.col("_tl_doc_id")), "left_anti")
+    """The rows of docs that are not contaminated, whole, each judged by its own text, whatever its id."""
+    rows = keyed(docs, "contaminated")
+    found = contamination(rows.select(F.col("_tl_row").alias("doc_id"), "text"), items)
+    bad = written(found.where(is_contaminated()).select(F.col("doc_id").alias("_tl_bad")), work_dir(docs.sparkSession, "contaminated"))
+    return rows.join(bounded_broadcast(bad), F.col("_tl_row") == F.col("_tl_bad"), "left_anti").select(*docs.columns)

@@ -7,12 +7,16 @@ one entry of each blob. Lower orders are counted from the distinct n-grams of th
 of different words before them (for those that begin a text, how often they do). Each order also sums, for every
 context, its values and how many are 1, 2 and more: all that the discounts and back-off weights need.
 
+Up to `FEW` ranges, each flush of a task makes a blob for each range. Beyond, that would be as many blobs as the square of
+the input: there it makes one for each of about sqrt(ranges) runs of ranges, and a second pass over slices of each run, none
+larger than a range, deals them to the ranges. The arrays are the same either way.
+
 Scoring. Workers map the arrays (8-byte keys with one-byte counts and a table for larger ones), look up all n-grams of a
-block of texts in sorted order, and sum logarithms for each text. Nothing is broadcast and nothing but a row for each
-range comes to the driver.
+block of texts in sorted order, and sum logarithms for each text. The sizes of ranges are mapped arrays too: tasks carry
+paths and a few numbers. A row for each range comes to the driver.
 
-Keys of words are 64-bit hashes; ids are places in the sorted words; n-grams of two ids have keys of their own, longer
-ones 64-bit hashes.
+Keys of words are 64-bit hashes; ids are places in the sorted words, of 32 bits as long as these are enough, else of 64;
+n-grams of two 32-bit ids have keys of their own, all others 64-bit hashes.
 
 Defined results: a null text has no words, only its end; a null id counts as held out (its text form is empty); repeated
 rows are trained on and scored as often as they come; without any training text all scores are 0; an empty table gives
@@ -38,9 +42,21 @@ ORDER = 2
 RANGE_BYTES = 24 << 20
 #: Words or n-grams that a task holds before it writes its blobs.
 HELD = 2_000_000
+#: Ranges up to which a flush makes a blob for each.
+FEW = 1024
 END = np.uint64(0xE3D0F7E2C9B1A586)
-BEGIN_ID, UNKNOWN_ID = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFE)
 _U = np.uint64
+NARROW, WIDE = "u4", "u8"
+
+
+def _begin(kind: str) -> np.uint64:
+    """The id that stands before a text."""
+    return _U((1 << 8 * int(kind[1])) - 1)
+
+
+def _unknown(kind: str) -> np.uint64:
+    """The id of words that the training texts don't have."""
+    return _begin(kind) - _U(1)
 
 
 # Blobs: columns of numbers, bytes of equal weight side by side, compressed.
@@ -69,17 +85,21 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))) if len(sorted_values) else np.zeros(0, np.int64)
 
 
-def _gram_key(ids: list[np.ndarray]) -> np.ndarray:
-    key = ids[0].astype(np.uint64) if len(ids) == 1 else (ids[0].astype(np.uint64) << _U(32)) | ids[1].astype(np.uint64)
-    key = tokens.mix(key + _U(1))
-    for more in ids[2:]:
-        key = tokens.mix(key * _U(3) + more.astype(np.uint64))
+def _gram_key(ids: list[np.ndarray], kind: str) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        if kind == NARROW and len(ids) > 1:
+            key, rest = (ids[0].astype(np.uint64) << _U(32)) | ids[1].astype(np.uint64), ids[2:]
+        else:
+            key, rest = ids[0].astype(np.uint64), ids[1:]
+        key = tokens.mix(key + _U(1))
+        for more in rest:
+            key = tokens.mix(key * _U(3) + more.astype(np.uint64))
     return key
 
 
 def _reduced(ids: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Distinct tuples of ids in order, and the sums of their values."""
-    if len(ids) <= 2:
+    if len(ids) == 1 or (len(ids) == 2 and ids[0].dtype == np.uint32):
         packed = ids[0].astype(np.uint64) if len(ids) == 1 else (ids[0].astype(np.uint64) << _U(32)) | ids[1].astype(np.uint64)
         order = np.argsort(packed)
         first = _runs(packed[order])
@@ -93,41 +113,75 @@ def _reduced(ids: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.n
     return [c[order[first]] for c in ids], sums
 
 
-def _blobs(ids: list[np.ndarray], values: list[np.ndarray], ranges: int) -> Iterator[tuple[int, bytes]]:
-    """A blob for each range of keys that these distinct, ordered tuples fall into."""
-    part = (_gram_key(ids) // _U(_width(ranges))).astype(np.uint32)
+def _blobs(ids: list[np.ndarray], values: list[np.ndarray], ranges: int, run: int, kind: str) -> Iterator[tuple[int, bytes]]:
+    """A blob for each range of keys (or run of ranges) that these distinct, ordered tuples fall into."""
+    part = (_gram_key(ids, kind) // _U(_width(ranges)) // _U(run)).astype(np.uint32)
     order = np.argsort(part, kind="stable")
     first = _runs(part[order])
     for at, stop in zip(first, [*first[1:], len(order)], strict=True):
         own = order[at:stop]
-        yield int(part[own[0]]), _pack([c[own].astype(np.uint32) for c in ids] + [v[own].astype(np.uint64) for v in values])
+        yield int(part[own[0]]), _pack([c[own].astype(kind) for c in ids] + [v[own].astype(np.uint64) for v in values])
 
 
 _BLOB = "range long, blob binary"
 
 
+def _run_of(ranges: int, few: int) -> int:
+    """How many ranges one blob of the first pass takes in."""
+    return 1 if ranges <= few else int(np.ceil(np.sqrt(ranges)))
+
+
+def _dealt(blobs: DataFrame, ranges: int, run: int, split) -> DataFrame:
+    """Blobs (range, kind, blob) of single ranges, from those of runs of ranges.
+
+    Each run is cut into as many slices as it has ranges, by the blobs themselves, so none is larger than a range."""
+    if run == 1:
+        return blobs
+    sliced = blobs.withColumn("slice", F.pmod(F.xxhash64("blob"), F.lit(run)))
+    return sliced.groupBy("range", "kind", "slice").applyInArrow(split, "range long, blob binary, kind string")
+
+
+def _blob_table(pairs: list[tuple[int, bytes]], kind: str) -> pa.Table:
+    return pa.table({"range": pa.array([r for r, _ in pairs], pa.int64()), "blob": pa.array([b for _, b in pairs], pa.binary()), "kind": pa.array([kind] * len(pairs), pa.string())})
+
+
 def _blob_batch(pairs: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r for r, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.binary())], ["range", "blob"])
 
 
 # Words.
-def _count_words(ranges: int):
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys)
+    first = _runs(keys[order])
+    return keys[order[first]], np.add.reduceat(counts[order], first)
+
+
+def _word_blobs(keys: np.ndarray, counts: np.ndarray, ranges: int, run: int) -> list[tuple[int, bytes]]:
+    part = keys // _U(_width(ranges)) // _U(run)
+    first = _runs(part)
+    return [(int(part[at]), _pack([keys[at:stop], counts[at:stop]])) for at, stop in zip(first, [*first[1:], len(part)], strict=True)]
+
+
+def _split_words(ranges: int):
+    def split(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [_unpack(b.as_py(), ["u8", "u8"]) for b in table.column("blob")]
+        keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+        return _blob_table(_word_blobs(keys, counts, ranges, 1), "value")
+
+    return split
+
+
+def _count_words(ranges: int, ranges_in_blob: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size, texts = 0, 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
-            order = np.argsort(keys)
-            first = _runs(keys[order])
-            return keys[order[first]], np.add.reduceat(counts[order], first)
+            return _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
 
         def flush() -> pa.RecordBatch:
-            keys, counts = merged()
-            part = keys // _U(_width(ranges))
-            first = _runs(part)
-            out = [(int(part[at]), _pack([keys[at:stop], counts[at:stop]])) for at, stop in zip(first, [*first[1:], len(part)], strict=True)]
-            return _blob_batch(out)
+            return _blob_batch(_word_blobs(*merged(), ranges, ranges_in_blob))
 
         for batch in batches:
             texts += len(batch)
@@ -152,10 +206,7 @@ def _merge_words(path: str):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         at = key[0].as_py()
         parts = [_unpack(b.as_py(), ["u8", "u8"]) for b in table.column("blob")]
-        keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
-        order = np.argsort(keys)
-        first = _runs(keys[order])
-        keys, counts = keys[order[first]], np.add.reduceat(counts[order], first)
+        keys, counts = _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
         _files.save(f"{path}/{at}.key", keys)
         _files.save(f"{path}/{at}.count", counts)
         return pa.table({"range": pa.array([at], pa.int64()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
@@ -163,41 +214,49 @@ def _merge_words(path: str):
     return run
 
 
+def _save_sizes(path: str, name: str, found: list[tuple[int, int]], ranges: int) -> np.ndarray:
+    """The size of each range (0: no such range) as an array in the shared folder."""
+    sizes = np.zeros(ranges, np.uint64)
+    for r, n in found:
+        sizes[r] = n
+    _files.save(f"{path}/{name}", sizes)
+    return sizes
+
+
 @dataclass(frozen=True)
 class Words:
     """The training words: ranges of keys, where each range's ids begin, and how many there are."""
 
     path: str
     width: int
-    sizes: dict[int, int]
-
-    def __post_init__(self) -> None:
-        starts, at = {}, 0
-        for r in sorted(self.sizes):
-            starts[r], at = at, at + self.sizes[r]
-        object.__setattr__(self, "starts", starts)
+    ranges: int
+    total: int
+    kind: str
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of sorted keys; UNKNOWN_ID and 0 for others."""
-        ids, counts = np.full(len(keys), UNKNOWN_ID), np.zeros(len(keys), np.uint64)
-        for r, lo, hi in _segments(keys, self.width, self.sizes):
-            own, count = _mapped(f"{self.path}/{r}.key", "u8", self.sizes[r]), _mapped(f"{self.path}/{r}.count", "u8", self.sizes[r])
+        """Ids and counts of sorted keys; the unknown id and 0 for others."""
+        unknown = _unknown(self.kind)
+        ids, counts = np.full(len(keys), unknown), np.zeros(len(keys), np.uint64)
+        sizes, starts = (_mapped(f"{self.path}/{n}", "u8", self.ranges) for n in ("sizes", "starts"))
+        for r, lo, hi in _segments(keys, self.width, sizes):
+            n = int(sizes[r])
+            own, count = _mapped(f"{self.path}/{r}.key", "u8", n), _mapped(f"{self.path}/{r}.count", "u8", n)
             at = np.searchsorted(own, keys[lo:hi])
             at[at == len(own)] = 0
             hit = own[at] == keys[lo:hi]
-            ids[lo:hi] = np.where(hit, (at + self.starts[r]).astype(np.uint64), UNKNOWN_ID)
+            ids[lo:hi] = np.where(hit, at.astype(np.uint64) + starts[r], unknown)
             counts[lo:hi] = np.where(hit, count[at], 0)
         return ids, counts
 
 
-def _segments(keys: np.ndarray, width: int, there: dict[int, int]) -> Iterator[tuple[int, int, int]]:
-    """(range, start, stop) of the ranges that sorted keys fall into, of those that are there."""
+def _segments(keys: np.ndarray, width: int, sizes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(range, start, stop) of the ranges that sorted keys fall into, of those that hold any."""
     if not len(keys):
         return
     part = keys // _U(width)
     first = _runs(part)
     for lo, hi in zip(first, [*first[1:], len(keys)], strict=True):
-        if int(part[lo]) in there:
+        if sizes[int(part[lo])]:
             yield int(part[lo]), int(lo), int(hi)
 
 
@@ -220,12 +279,13 @@ def sequences(texts: pa.Array, words: Words, order: int) -> Iterator[tuple[np.nd
     A text that goes on in the next block takes its last ids along as context."""
     before = order - 1
     end_id, end_count = (x[0] for x in words.find(np.array([END])))
-    start, tail = 0, np.full(before, BEGIN_ID)
+    begin = _begin(words.kind)
+    start, tail = 0, np.full(before, begin)
 
     def laid(first: int, last: int, ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, closes: np.ndarray) -> tuple:
         lengths = before + sizes + closes
         ends = np.cumsum(lengths)
-        flat, known = np.full(int(ends[-1]), BEGIN_ID), np.zeros(int(ends[-1]), np.uint64)
+        flat, known = np.full(int(ends[-1]), begin), np.zeros(int(ends[-1]), np.uint64)
         flat[:before] = tail
         owner = np.repeat(np.arange(first, last + 1), lengths)
         inner = np.ones(len(flat), bool)
@@ -256,18 +316,32 @@ def sequences(texts: pa.Array, words: Words, order: int) -> Iterator[tuple[np.nd
         yield laid(start, len(texts) - 1, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(n, np.int64), np.ones(n, np.int64))
 
 
-def _count_grams(words: Words, order: int, ranges: int):
+def _merged_blobs(blobs: pa.ChunkedArray, kinds: list[str]) -> list[np.ndarray]:
+    parts = [_unpack(b.as_py(), kinds) for b in blobs]
+    return [np.concatenate([p[i] for p in parts]) for i in range(len(kinds))]
+
+
+def _split_grams(level: int, ranges: int, kind: str):
+    def split(key: tuple, table: pa.Table) -> pa.Table:
+        what = key[1].as_py()
+        columns = _merged_blobs(table.column("blob"), [kind] * level + ["u8"] * (1 if what == "value" else 4))
+        return _blob_table(list(_blobs(*_reduced(columns[:level], columns[level:]), ranges, 1, kind)), what)
+
+    return split
+
+
+def _count_grams(words: Words, order: int, ranges: int, ranges_in_blob: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             ids = [np.concatenate([h[i] for h in held]) for i in range(order)]
-            return _blob_batch(list(_blobs(*_reduced(ids, [np.ones(len(ids[0]), np.uint64)]), ranges)))
+            return _blob_batch(list(_blobs(*_reduced(ids, [np.ones(len(ids[0]), np.uint64)]), ranges, ranges_in_blob, words.kind)))
 
         for batch in batches:
             for flat, places, _, _ in sequences(batch.column("text"), words, order):
-                held.append([flat[places - order + 1 + i].astype(np.uint32) for i in range(order)])
+                held.append([flat[places - order + 1 + i].astype(words.kind) for i in range(order)])
                 size += len(places)
                 if size > HELD:
                     yield flush()
@@ -281,12 +355,12 @@ def _count_grams(words: Words, order: int, ranges: int):
 _MERGED = "range long, level int, kind string, blob binary, n long, over long, total long, c1 long, c2 long, c3 long, c4 long, c5 long"
 
 
-def _merge_grams(path: str, level: int, top: bool, ranges: int):
+def _merge_grams(path: str, level: int, top: bool, ranges: int, ranges_in_blob: int, id_kind: str):
     """Merges a range of one order: writes its arrays, passes what the order below needs, and describes the range."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         at = key[0].as_py()
-        ids_kinds = ["u4"] * level
+        ids_kinds = [id_kind] * level
         value, context = [], []
         for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob"), strict=True):
             (value if kind == "value" else context).append(_unpack(blob.as_py(), ids_kinds + ["u8"] * (1 if kind == "value" else 4)))
@@ -296,7 +370,7 @@ def _merge_grams(path: str, level: int, top: bool, ranges: int):
         if not top:
             sums += [np.concatenate([np.zeros(n_value, np.uint64), *(p[level + i] for p in context)]) for i in range(4)]
         ids, sums = _reduced(columns, sums)
-        keys = _gram_key(ids)
+        keys = _gram_key(ids, id_kind)
         order = np.argsort(keys)
         count = sums[0]
         over = np.flatnonzero(count[order] >= 255)
@@ -311,10 +385,10 @@ def _merge_grams(path: str, level: int, top: bool, ranges: int):
         rows = [(at, "range", b"", len(keys), len(over), int(count.sum()), *(int((count == i).sum()) for i in (1, 2, 3, 4)), int((count > 2).sum()))]
         if level > 1 and there.any():
             own, c = [x[there] for x in ids], count[there]
-            passed = np.where(own[1] == np.uint32(BEGIN_ID), c, _U(1))
-            rows += [(r, "value", b, 0, 0, 0, 0, 0, 0, 0, 0) for r, b in _blobs(*_reduced(own[1:], [passed]), ranges)]
+            passed = np.where(own[1] == own[1].dtype.type(_begin(id_kind)), c, _U(1))
+            rows += [(r, "value", b, 0, 0, 0, 0, 0, 0, 0, 0) for r, b in _blobs(*_reduced(own[1:], [passed]), ranges, ranges_in_blob, id_kind)]
             kinds = [c, (c == 1).astype(np.uint64), (c == 2).astype(np.uint64), (c > 2).astype(np.uint64)]
-            rows += [(r, "context", b, 0, 0, 0, 0, 0, 0, 0, 0) for r, b in _blobs(*_reduced(own[:-1], kinds), ranges)]
+            rows += [(r, "context", b, 0, 0, 0, 0, 0, 0, 0, 0) for r, b in _blobs(*_reduced(own[:-1], kinds), ranges, ranges_in_blob, id_kind)]
         cols = list(zip(*rows, strict=True))
         whole = pa.int64()
         return pa.table({"range": pa.array(cols[0], whole), "level": pa.array([level] * len(rows), pa.int32()), "kind": pa.array(cols[1], pa.string()), "blob": pa.array(cols[2], pa.binary()), **{n: pa.array(c, whole) for n, c in zip(("n", "over", "total", "c1", "c2", "c3", "c4", "c5"), cols[3:], strict=True)}})
@@ -326,24 +400,24 @@ def _merge_grams(path: str, level: int, top: bool, ranges: int):
 class Level:
     path: str
     width: int
-    sizes: dict[int, int]
-    overs: dict[int, int]
+    ranges: int
 
     def find(self, keys: np.ndarray, contexts: bool) -> list[np.ndarray]:
         """The values of sorted keys (0 if they aren't there), or as contexts their totals and counts of 1, 2 and more."""
         names = ("total", "n1", "n2", "n3") if contexts else ("small",)
         out = [np.zeros(len(keys)) for _ in names]
-        for r, lo, hi in _segments(keys, self.width, self.sizes):
-            n = self.sizes[r]
+        sizes, overs = (_mapped(f"{self.path}/{n}", "u8", self.ranges) for n in ("sizes", "overs"))
+        for r, lo, hi in _segments(keys, self.width, sizes):
+            n, over = int(sizes[r]), int(overs[r])
             own = _mapped(f"{self.path}/{r}.key", "u8", n)
             at = np.searchsorted(own, keys[lo:hi])
             at[at == n] = 0
             hit = own[at] == keys[lo:hi]
             for o, name in zip(out, names, strict=True):
                 found = _mapped(f"{self.path}/{r}.{name}", "u1" if name == "small" else "u8", n)[at].astype(float)
-                if name == "small" and self.overs[r]:
+                if name == "small" and over:
                     big = np.flatnonzero(found == 255)
-                    found[big] = _mapped(f"{self.path}/{r}.large", "u8", self.overs[r])[np.searchsorted(_mapped(f"{self.path}/{r}.place", "u8", self.overs[r]), at[big].astype(np.uint64))]
+                    found[big] = _mapped(f"{self.path}/{r}.large", "u8", over)[np.searchsorted(_mapped(f"{self.path}/{r}.place", "u8", over), at[big].astype(np.uint64))]
                 o[lo:hi] = np.where(hit, found, 0)
         return out
 
@@ -367,7 +441,7 @@ class Model:
 
     @property
     def n_words(self) -> int:
-        return sum(self.words.sizes.values())
+        return self.words.total
 
     def log10(self, flat: np.ndarray, places: np.ndarray) -> np.ndarray:
         """log10 of the probability of the token at each place, given those before it."""
@@ -383,30 +457,36 @@ class Model:
         return np.log10(p)
 
     def _looked_up(self, k: int, ids: list[np.ndarray], contexts: bool) -> list[np.ndarray]:
-        distinct, back = np.unique(_gram_key(ids), return_inverse=True)
+        distinct, back = np.unique(_gram_key(ids, self.words.kind), return_inverse=True)
         return [x[back] for x in self.levels[k - 1].find(distinct, contexts)]
 
 
-def train(docs: DataFrame, order: int = ORDER, range_bytes: int = RANGE_BYTES, at: str | None = None) -> Model:
+def train(docs: DataFrame, order: int = ORDER, range_bytes: int = RANGE_BYTES, at: str | None = None, few: int = FEW, id_kind: str | None = None) -> Model:
     """The model of all texts of docs."""
     spark = docs.sparkSession
     at = at or work_dir(spark, "language-model")
     texts = docs.select("text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(4, -(-size // range_bytes))
-    width = _width(ranges)
-    merged = texts.mapInArrow(_count_words(ranges), _BLOB).groupBy("range").applyInArrow(_merge_words(f"{at}/words"), "range long, n long, total long").collect()
-    words = Words(f"{at}/words", width, {r["range"]: r["n"] for r in merged})
-    if sum(words.sizes.values()) >= int(UNKNOWN_ID):
-        raise ValueError("more distinct words than 32-bit ids")
-    blobs = texts.mapInArrow(_count_grams(words, order, ranges), _BLOB).withColumn("kind", F.lit("value"))
+    width, run = _width(ranges), _run_of(ranges, few)
+    blobs = _dealt(texts.mapInArrow(_count_words(ranges, run), _BLOB).withColumn("kind", F.lit("value")), ranges, run, _split_words(ranges))
+    merged = blobs.groupBy("range").applyInArrow(_merge_words(f"{at}/words"), "range long, n long, total long").collect()
+    sizes = _save_sizes(f"{at}/words", "sizes", [(r["range"], r["n"]) for r in merged], ranges)
+    _files.save(f"{at}/words/starts", np.cumsum(sizes) - sizes)
+    n_words = int(sizes.sum())
+    kind = id_kind or (NARROW if n_words < int(_unknown(NARROW)) else WIDE)
+    words = Words(f"{at}/words", width, ranges, n_words, kind)
+    blobs = texts.mapInArrow(_count_grams(words, order, ranges, run), _BLOB).withColumn("kind", F.lit("value"))
     levels: list[Level] = []
     cuts, root = [], (0.0, 0.0, 0.0, 0.0)
     for k in range(order, 0, -1):
         path = f"{at}/level{k}"
-        done = written(blobs.groupBy("range").applyInArrow(_merge_grams(path, k, k == order, ranges), _MERGED), f"{at}/merged{k}")
+        own = _dealt(blobs, ranges, run, _split_grams(k, ranges, kind))
+        done = written(own.groupBy("range").applyInArrow(_merge_grams(path, k, k == order, ranges, run, kind), _MERGED), f"{at}/merged{k}")
         own = done.where("kind = 'range'").drop("blob").collect()
-        levels.insert(0, Level(path, width, {r["range"]: r["n"] for r in own}, {r["range"]: r["over"] for r in own}))
+        for name, column in (("sizes", "n"), ("overs", "over")):
+            _save_sizes(path, name, [(r["range"], r[column]) for r in own], ranges)
+        levels.insert(0, Level(path, width, ranges))
         c1, c2, c3, c4, c5, total = (sum(r[n] for r in own) for n in ("c1", "c2", "c3", "c4", "c5", "total"))
         cuts.insert(0, discounts(c1, c2, c3, c4))
         if k == 1:
@@ -442,6 +522,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(model), schema)
 
 
-def scored(docs: DataFrame, order: int = ORDER, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def scored(docs: DataFrame, order: int = ORDER, range_bytes: int = RANGE_BYTES, few: int = FEW, id_kind: str | None = None) -> DataFrame:
     """All rows of docs, scored by the model of those that are not held out."""
-    return score(docs, train(docs.where(~held_out(F.col("doc_id"))), order, range_bytes))
+    return score(docs, train(docs.where(~held_out(F.col("doc_id"))), order, range_bytes, few=few, id_kind=id_kind))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._shared import bounded_broadcast, work_dir, written
+from ._shared import bounded_broadcast, keyed, work_dir, written
 
 WORDS = 5
 PERCENT = 80
@@ -59,10 +59,10 @@ def shingle_sets(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.nda
         extra = np.zeros(len(short), np.uint64)
         starts = ends - counts
         for i, d in enumerate(short):
-            x = _U(0)
+            x = np.zeros(1, np.uint64)  # arrays of one: they wrap around without a warning
             for h in mixed[starts[d] : ends[d]]:
-                x = tokens.mix(np.array([x * _U(5) + h + _U(11)], np.uint64))[0]
-            extra[i] = x
+                x = tokens.mix(x * _U(5) + h + _U(11))
+            extra[i] = x[0]
         found, owner = np.concatenate([found, extra]), np.concatenate([owner, short])
     order = np.lexsort((found, owner))
     found, owner = found[order], owner[order]
@@ -333,6 +333,11 @@ def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hashes: i
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay, whole: those of each group's least id. Rows with a null id stay: no id names them as copies."""
-    gone = written(group(docs, words, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_tl_doc_id")).distinct(), work_dir(docs.sparkSession, "copies"))
-    return docs.join(bounded_broadcast(gone), F.col("doc_id") == F.col("_tl_doc_id"), "left_anti")
+    """One row of docs of each group, whole: that of the least id (null after all others), the first in the table of equal ones.
+
+    Rows without words are groups of their own."""
+    rows = keyed(docs, "copies")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_tl_row").alias("row"))
+    grouped = group(rows.select(key.alias("doc_id"), "text"), words, percent)
+    gone = written(grouped.where(~F.col("kept")).select(F.col("doc_id.row").alias("_tl_gone")), work_dir(docs.sparkSession, "copies"))
+    return rows.join(bounded_broadcast(gone), F.col("_tl_row") == F.col("_tl_gone"), "left_anti").select(*docs.columns)

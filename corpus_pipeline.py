@@ -1,11 +1,16 @@
-"""The corpus pipeline: quality, near-duplicates, benchmark passages, secrets, packing, in this order."""
+"""The corpus pipeline: quality, near-duplicates, benchmark passages, secrets, packing, in this order.
+
+Defined results: stages that drop documents judge row by row, so null and repeated ids neither save nor doom other rows;
+null and empty texts are kept (they hold no n-grams, words, windows or secrets) and packed as one end token each; repeated
+rows are copies, of which the first stays; empty tables give empty tables; other columns pass through all stages but the
+last, whatever their names (those of the stages begin with _tl_)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm import decontamination, near_dedup, packing, quality, secrets
-from tracelake.llm._shared import table, work_dir
+from tracelake.llm._shared import released, table, work_dir
 from tracelake.llm.queries import vocabulary
 
 
@@ -15,7 +20,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    """One row of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
     return near_dedup.deduplicated(docs)
 
 
@@ -51,8 +56,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = work_dir(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number + 1 < len(STAGES):
-            docs.write.mode("overwrite").parquet(f"{at}/{number}")
-            docs = spark.read.parquet(f"{at}/{number}")
+        # What a stage has written on its way goes when its result is written.
+        with released(spark):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{at}/{number}")
+        docs = spark.read.parquet(f"{at}/{number}")
     return docs

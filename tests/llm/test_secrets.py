@@ -92,6 +92,7 @@ def test_only_unseen_texts_are_scanned_again(spark, tmp_path):
         secrets.update_ledger(docs, f"file://{tmp_path}/{name}")
     spark.read.parquet(f"file://{tmp_path}/a").write.mode("append").parquet(f"file://{tmp_path}/b")
     assert spark.read.parquet(f"file://{tmp_path}/b").count() == 4
+    assert secrets.update_ledger(docs, f"file://{tmp_path}/b").count() == 4  # nothing new
     assert secrets.scan(docs, f"file://{tmp_path}/b").count() == 2 == secrets.digest(docs, f"file://{tmp_path}/b").count()
     assert spark.read.parquet(f"file://{tmp_path}/b").count() == 4
 

@@ -70,8 +70,14 @@ def update_ledger(docs: DataFrame, ledger: str, text: str = "text", version: str
     # Grouping begins within each task, so copies of a text hardly travel.
     blobs = blobs.groupBy("blob").agg(F.first("body").alias("body"))
     blobs.select("blob", F.lit(version).alias("version"), _found(F.col("body")).alias("findings")).write.mode("append").parquet(ledger)
-    # Scans at the same time may both append a blob.
-    return spark.read.schema(schema).parquet(ledger).where(F.col("version") == version).dropDuplicates(["blob"])
+    return spark.read.schema(schema).parquet(ledger).where(F.col("version") == version)
+
+
+def _hits(rows: DataFrame) -> DataFrame:
+    """The ledger's blobs with findings, each once (scans at the same time may both append one), as a table.
+
+    A written one: rows of a frequent text can then be split among tasks where they are joined."""
+    return written(rows.where(F.size("findings") > 0).select("blob", "findings").dropDuplicates(["blob"]), work_dir(rows.sparkSession, "findings"))
 
 
 def _existing(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
@@ -84,7 +90,7 @@ def _joined(docs: DataFrame, ledger: str | None, text: str, version: str) -> Dat
     """docs with a column `_tl_findings`."""
     rows = update_ledger(docs, ledger or work_dir(docs.sparkSession, "blob-ledger"), text, version)
     # Only blobs with findings take part in the join; all other rows are filled in.
-    hits = rows.where(F.size("findings") > 0).select(F.col("blob").alias("_tl_blob"), F.col("findings").alias("_tl_findings"))
+    hits = _hits(rows).select(F.col("blob").alias("_tl_blob"), F.col("findings").alias("_tl_findings"))
     keyed = docs.withColumn("_tl_key", blob_id(F.col(text)))
     joined = keyed.join(hits, F.col("_tl_key") == F.col("_tl_blob"), "left").drop("_tl_key", "_tl_blob")
     return joined.withColumn("_tl_findings", F.coalesce("_tl_findings", F.array().cast(SPANS)))
@@ -101,8 +107,7 @@ def digest(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     # Ids and blob names go through the join, not texts.
     spark = docs.sparkSession
     rows = update_ledger(docs, ledger or work_dir(spark, "blob-ledger"))
-    hits = rows.where(F.size("findings") > 0).select("blob", "findings")
-    found = docs.select("doc_id", blob_id(F.col("text")).alias("blob")).join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast(SPANS)).alias("findings"))
+    found = docs.select("doc_id", blob_id(F.col("text")).alias("blob")).join(_hits(rows), "blob", "left").select("doc_id", "blob", F.coalesce("findings", F.array().cast(SPANS)).alias("findings"))
     count = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == kind)).cast("bigint")
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k, _, _ in RULES), F.sha2(joined_spans(F.col("findings")), 256).alias("base_sha256"), joined_spans(F.col("findings")).alias("spans"), "blob")
 

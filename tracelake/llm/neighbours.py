@@ -155,14 +155,22 @@ def _meet(plan: Plan, every: bool = False):
             if not every:
                 table = key[0].as_py()
                 codes = plan.codes(v / v_size[:, None], table)
-                buckets, member = np.unique(codes, axis=0, return_inverse=True)
-                member = member.reshape(-1)
+                buckets, member, sizes = np.unique(codes, axis=0, return_inverse=True, return_counts=True)
+                members, begin = np.argsort(member.reshape(-1), kind="stable"), np.cumsum(sizes) - sizes
                 logs, limits = plan.chances(q / q_size[:, None], table)
             ids = index.column("ids").to_pylist()
             h1, h2 = queries.column("h1").to_pylist(), queries.column("h2").to_pylist()
             take = plan.k + 1
             for i in range(len(q)):
-                near = np.arange(len(v)) if every else np.flatnonzero((logs[i][np.arange(plan.hashes), buckets].sum(1) >= limits[i])[member])
+                if every:
+                    near = np.arange(len(v))
+                else:
+                    # The probe sequence: this chunk's buckets by estimated success, until all that are left lie beyond the target.
+                    success = logs[i][np.arange(plan.hashes), buckets].sum(1)
+                    sequence = np.argsort(-success, kind="stable")
+                    sequence = sequence[: np.searchsorted(-success[sequence], -limits[i], "right")]
+                    n = sizes[sequence]
+                    near = members[np.repeat(begin[sequence] - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 if not len(near):
                     continue
                 rough = (v[near] @ q[i]) / (v_size[near] * q_size[i])

@@ -59,16 +59,16 @@ def noise_of(docs, seed=quality.SEED):
 
 
 def test_against_a_plain_sampler(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("length(text) < 1000")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("length(text) < 1000").orderBy("doc_id").limit(60)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows, marks = [tuple(r) for r in docs.collect()], [(r.doc_id, r.quality) for r in labels.collect()]
     drawn = {}
-    for seed, keep, k in ((quality.SEED, quality.KEEP, None), (quality.SEED, 0.9, None), (3, quality.KEEP, 60), (4, quality.KEEP, 60)):
+    for seed, keep, k in ((quality.SEED, 0.9, None), (3, quality.KEEP, 20), (4, quality.KEEP, 20)):
         got = quality.resampled(docs, labels, k, keep, seed).collect()
         want = sampled(rows, marks, noise_of(docs, seed), keep, k)
         assert [r.doc_id for r in sorted(got, key=lambda r: -r.key)] == want
         drawn[seed, keep] = set(want)
-    assert drawn[3, quality.KEEP] != drawn[4, quality.KEEP] and len(drawn[3, quality.KEEP]) == 60
+    assert drawn[3, quality.KEEP] != drawn[4, quality.KEEP] and len(drawn[3, quality.KEEP]) == 20
 
 
 def test_noise_is_gumbel(spark):

@@ -299,7 +299,8 @@ def sequences(texts: pa.Array, words: Words, order: int) -> Iterator[tuple[np.nd
         places = np.flatnonzero(inner)
         return flat, places, owner[places], known[places]
 
-    for hashes, index, _ in tokens.blocks(texts):
+    # Larger blocks than elsewhere: more of their n-grams are equal and are looked up once.
+    for hashes, index, _ in tokens.blocks(texts, 2 * tokens.BLOCK):
         if not len(hashes):
             continue
         distinct, back = np.unique(hashes, return_inverse=True)

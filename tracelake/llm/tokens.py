@@ -63,10 +63,10 @@ def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hash_spans(_VALUES[data], starts, ends) if len(starts) else np.zeros(0, np.uint64)), starts
 
 
-def cuts(texts: pa.Array) -> Iterator[tuple[np.ndarray, int, np.ndarray, int]]:
+def cuts(texts: pa.Array, size: int | None = None) -> Iterator[tuple[np.ndarray, int, np.ndarray, int]]:
     """(bytes with a separator between texts, first text, where each text ends, bytes of the texts) of successive blocks.
 
-    The text of a place in a block is first + searchsorted(ends, place, "right"). No word is cut; a text longer than a
+    A block has `size` bytes (BLOCK without it). The text of a place in it is first + searchsorted(ends, place, "right"). No word is cut; a text longer than a
     block goes on in the next one."""
     texts = texts.cast(pa.large_string())
     if not len(texts):
@@ -77,7 +77,7 @@ def cuts(texts: pa.Array) -> Iterator[tuple[np.ndarray, int, np.ndarray, int]]:
     # An end of text is an end of word, so a separator is put between texts where blocks are made.
     first = 0
     while at < end:
-        stop = min(end, at + BLOCK)
+        stop = min(end, at + (size or BLOCK))
         while first + 1 < len(texts) and offsets[first + 1] <= at:
             first += 1
         last = int(np.searchsorted(offsets, stop, "left"))  # texts first..last-1 have bytes in at..stop
@@ -102,11 +102,11 @@ def cuts(texts: pa.Array) -> Iterator[tuple[np.ndarray, int, np.ndarray, int]]:
         at = stop
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def blocks(texts: pa.Array, size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(word hashes, index of each word's text, bytes) of successive blocks; null texts have no words."""
-    for cut, first, bounds, size in cuts(texts):
+    for cut, first, bounds, n in cuts(texts, size):
         hashes, starts = hash_words(cut)
-        yield hashes, first + np.searchsorted(bounds, starts, "right"), size
+        yield hashes, first + np.searchsorted(bounds, starts, "right"), n
 
 
 def per_text(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

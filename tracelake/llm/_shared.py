@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
 import functools
 import shutil
 import tempfile
@@ -35,7 +34,7 @@ def _local_root() -> str:
     return path
 
 
-#: Folders that work_dir has named and released() has not removed.
+#: Folders that work_dir has named and remove() has not removed.
 _made: list[str] = []
 
 
@@ -45,16 +44,18 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return _made[-1]
 
 
-@contextlib.contextmanager
-def released(spark: SparkSession):
-    """Removes, at its end, the folders that work_dir names within: what was made from them must be written by then."""
-    known = len(_made)
-    yield
+def made_folders() -> list[str]:
+    """The folders that work_dir has named so far and that are not removed."""
+    return list(_made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders that work_dir has named: what was made from them must be written by then."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for path in _made[known:]:
+    for path in paths:
         at = hadoop.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    del _made[known:]
+    _made[:] = [p for p in _made if p not in set(paths)]
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

@@ -62,6 +62,31 @@ def test_redaction_keeps_the_rest(spark):
     assert got[2].text == "clean" and got[3].text is None
 
 
+def shuffled_rows(spark):
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_texts_without_findings_do_not_travel_to_be_joined(spark, tmp_path):
+    rows = [(i, f"clean text {i}: a = b AKIA{i}") for i in range(400)] + [(400 + i, x) for i, x in enumerate(ODD)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    may = {r.doc_id: r.may for r in docs.select("doc_id", secrets._may_hold(F.col("text")).alias("may")).collect()}
+    assert all(may[i] for i, x in rows if brute(x)) and not any(may[i] for i in range(400))
+    secrets.update_ledger(docs, ledger := f"file://{tmp_path}/ledger")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled_rows(spark)
+        joined = secrets._joined(docs, ledger, "text", secrets.RULE_VERSION)
+        scanned = shuffled_rows(spark)
+        found = {r.doc_id: r._tl_findings for r in joined.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {i: ",".join(f"{s.kind}:{s.start}:{s.end}" for s in v) for i, v in found.items()} == {i: brute(x) for i, x in rows}
+    assert before < scanned < shuffled_rows(spark) <= scanned + 4 * len(ODD)
+
+
 def redacted(text, mark="[secret]"):
     out, at = [], 0
     for start, end in sorted((m.start(), m.end()) for _, pattern, keep in RULES for m in pattern.finditer(text) if keep(m)):

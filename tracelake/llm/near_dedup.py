@@ -211,9 +211,9 @@ def components(links: DataFrame, at: str) -> DataFrame:
     """node, root (its group's least node) of all nodes of the links (a, b: strings); roots are left out.
 
     Links shrink to stars within tasks; then large-star and small-star steps in turn until no link changes. Each step is
-    a written table."""
-    spark = links.sparkSession
-    edges = written(links.select("a", "b").mapInArrow(_forest, "a string, b string").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{at}/forest")
+    a written table, of fewer files than a shuffle has partitions, as its rows are few and short."""
+    files = max(12, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    edges = written(links.select("a", "b").mapInArrow(_forest, "a string, b string").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(files), f"{at}/forest")
     mark = None
     for step in itertools.count():  # a logarithmic number of steps, whatever the links
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -223,7 +223,7 @@ def components(links: DataFrame, at: str) -> DataFrame:
         # Small star: each node and its smaller neighbours link to the least of them.
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        edges = written(small, f"{at}/step{step}")
+        edges = written(small.coalesce(files), f"{at}/step{step}")
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == mark:
             break

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._shared import bounded_broadcast, keyed, work_dir, written
+from ._shared import bounded_broadcast, gives_back, keyed, work_dir, written
 
 WORDS = 5
 PERCENT = 80
@@ -133,6 +133,7 @@ def _digests(items: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _signatures(k: int, m: int, rows: int):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, stop, hashes, counts in tokens.per_text(batch.column("text")):
@@ -152,6 +153,7 @@ def _signatures(k: int, m: int, rows: int):
 
 
 def _sets(k: int):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, stop, hashes, counts in tokens.per_text(batch.column("text")):
@@ -188,6 +190,7 @@ class Union:
             self.up[max(a, b)] = min(a, b)
 
 
+@gives_back
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links of a task as stars: each node with the least node of its group, as far as this task sees.
 
@@ -196,7 +199,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def stars() -> pa.RecordBatch:
         pairs = [(x, union.find(x)) for x in union.up]
-        return pa.RecordBatch.from_arrays([pa.array([x for x, r in pairs if x != r], pa.string()), pa.array([r for x, r in pairs if x != r], pa.string())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x for x, r in pairs if x != r], pa.binary()), pa.array([r for x, r in pairs if x != r], pa.binary())], ["a", "b"])
 
     for batch in batches:
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
@@ -208,12 +211,12 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame, at: str) -> DataFrame:
-    """node, root (its group's least node) of all nodes of the links (a, b: strings); roots are left out.
+    """node, root (its group's least node) of all nodes of the links (a, b: binary); roots are left out.
 
     Links shrink to stars within tasks; then large-star and small-star steps in turn until no link changes. Each step is
     a written table, of fewer files than a shuffle has partitions, as its rows are few and short."""
     files = max(12, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-    edges = written(links.select("a", "b").mapInArrow(_forest, "a string, b string").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(files), f"{at}/forest")
+    edges = written(links.select("a", "b").mapInArrow(_forest, "a binary, b binary").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(files), f"{at}/forest")
     mark = None
     for step in itertools.count():  # a logarithmic number of steps, whatever the links
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -232,6 +235,7 @@ def components(links: DataFrame, at: str) -> DataFrame:
 
 
 def _verify(percent: int):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [[x.values.to_numpy(zero_copy_only=False) for x in batch.column(c)] for c in ("first_items", "other_items")]
@@ -289,7 +293,7 @@ def _hidden(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("part", other).alias("one"), F.greatest("part", other).alias("two"), F.when(other == F.col("part"), 0).when(F.col("part") < other, 1).otherwise(2).alias("side")))
     # Side 0: the block against itself. It also stands on its side in the pairs with other blocks.
     dealt = cut.select("bucket", "node", "root", F.explode(pairs).alias("p")).select("bucket", "node", "root", "p.*")
-    return written(dealt.join(sets, "node").groupBy("bucket", "one", "two").applyInPandas(_across(percent), "a string, b string").distinct(), f"{at}/hidden")
+    return written(dealt.join(sets, "node").groupBy("bucket", "one", "two").applyInPandas(_across(percent), "a binary, b binary").distinct(), f"{at}/hidden")
 
 
 def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hashes: int = HASHES, rows: int = ROWS) -> DataFrame:
@@ -299,7 +303,7 @@ def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hashes: i
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
     signed = written(texts.mapInArrow(_signatures(words, hashes, rows), f"doc_id {kind}, n_shingles long, high long, low long, bands array<long>"), f"{at}/signatures")
-    node = F.concat_ws(".", F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0"))
+    node = F.unhex(F.concat(*(F.lpad(F.hex(half), 16, "0") for half in ("high", "low"))))  # 16 bytes: every shuffle carries them
     ids = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, node).alias("node"))
 
     # One row for each digest; copies go no further.
@@ -318,7 +322,7 @@ def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, hashes: i
     first_sets = sets.select(F.col("node").alias("b"), F.col("items").alias("first_items"))
     other_sets = sets.select(F.col("node").alias("a"), F.col("items").alias("other_items"))
     # The lesser of the two sizes bounds the intersection: pairs of too different sizes go before their sets are read.
-    links = written(stars.join(other_sets, "a").join(first_sets, "b").mapInArrow(_verify(percent), "a string, b string"), f"{at}/links0")
+    links = written(stars.join(other_sets, "a").join(first_sets, "b").mapInArrow(_verify(percent), "a binary, b binary"), f"{at}/links0")
     groups = components(links, f"{at}/components0")
     more = _hidden(members.select("bucket", "node"), groups, sets, percent, at)
     if not more.isEmpty():

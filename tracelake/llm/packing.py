@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import wordpieces
-from ._shared import work_dir, written
+from ._shared import gives_back, work_dir, written
 
 LENGTH = 4096
 END = 1
@@ -48,6 +48,7 @@ WELL = 0.98
 
 
 def _pieces(path: str, length: int, end: int):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, row = wordpieces.encoder(path), TaskContext.get().partitionId(), 0
         tail = np.array([end], "<u4")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import tokens
-from ._shared import work_dir, written
+from ._shared import gives_back, work_dir, written
 
 BUCKETS = 1 << 15
 LABELS = 20_000
@@ -67,6 +67,7 @@ def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         before, before_owner = hashes[-1], owner[-1]
 
 
+@gives_back
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
@@ -93,6 +94,7 @@ def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def _weigh(ratio: np.ndarray):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weights = np.zeros(len(batch))
